@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
+_LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,10 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError(f"set {_CONF} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="evalspan-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set(_CONF, f"file://{folder}")
-    return f"file://{folder}"
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="evalspan-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return f"file://{_LOCAL[0]}"
 
 
 class Workspace:
