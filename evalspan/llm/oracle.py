@@ -29,5 +29,34 @@ SELECT row_id FROM named WHERE s IS NOT NULL AND g IN (
 """
 
 
+_BARE = r"lower(regexp_replace(source, '[^\p{L}\p{N}]+', '', 'g'))"
+
+_RUNS = f"""
+WITH steps AS (
+  SELECT instance_id, sample, replicate, step, source_sha256 AS h, {_BARE} AS t, recorded_at,
+         row_number() OVER (PARTITION BY instance_id, sample, replicate, step ORDER BY
+           (source IS NULL)::INT * 2 + (source_sha256 IS NULL)::INT, recorded_at NULLS FIRST, state_id) AS n
+  FROM states WHERE step IS NOT NULL
+), pairs AS (
+  SELECT *, lag(step) OVER w AS ps, lag(t) OVER w AS pt, lag(h) OVER w AS ph FROM steps WHERE n = 1
+  WINDOW w AS (PARTITION BY instance_id, sample, replicate ORDER BY step)
+), marked AS (
+  SELECT *, CASE WHEN ps = step - 1 AND CASE
+      WHEN t IS NOT NULL AND pt IS NOT NULL THEN
+        CASE WHEN t = pt THEN TRUE WHEN abs(length(t) - length(pt)) > 3 THEN FALSE ELSE levenshtein(t, pt) <= 3 END
+      ELSE coalesce(lower(h) = lower(ph), FALSE) END THEN 0 ELSE 1 END AS start
+  FROM pairs
+), numbered AS (
+  SELECT *, sum(start) OVER (PARTITION BY instance_id, sample, replicate ORDER BY step) AS run FROM marked
+)
+SELECT instance_id, sample, replicate, min(step) AS first_step, max(step) AS last_step, count(*) AS steps,
+       min(recorded_at) AS started_at,
+       round(epoch_us(max(recorded_at)) - epoch_us(min(recorded_at)), 0) / 1e6 AS seconds
+FROM numbered GROUP BY instance_id, sample, replicate, run
+"""
+
+P2_FOUND = f"SELECT instance_id, sample, replicate, first_step, last_step FROM ({_RUNS}) WHERE steps >= 2"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_runs": _RUNS}

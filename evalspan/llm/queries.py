@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import Workspace
 from ..tables import table
-from . import splits
+from . import runs, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,5 +34,21 @@ def p1_splits(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("row_id", "group_id", splits.assign_split(F.col("group_id")).alias("new_split"))
 
 
+ROLLOUT = ("instance_id", "sample", "replicate")
+
+
+def p2_runs(spark: SparkSession, directory: str) -> DataFrame:
+    """Each stretch of a rollout in which the source doesn't change or hardly changes, as one event."""
+    return runs.collapse_runs(
+        table(spark, directory, "states"), ROLLOUT, "step", "source", "source_sha256", "recorded_at", ["state_id"],
+        Workspace(spark, "p2"),
+    )
+
+
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The stretches of at least two steps."""
+    return p2_runs(spark, directory).where("steps >= 2").select(*ROLLOUT, "first_step", "last_step")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits}
+    return {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_runs": p2_runs}
