@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import Workspace
 from ..tables import table
-from . import runs, splits
+from . import runs, splits, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,5 +50,24 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return p2_runs(spark, directory).where("steps >= 2").select(*ROLLOUT, "first_step", "last_step")
 
 
+def _cuts(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    rows = table(spark, directory, "candidates")
+    return truncation.find_truncated(rows, "candidate_id", "completion", "model", "generated_tokens", Workspace(spark, name))
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Candidates whose completion lost its end."""
+    return _cuts(spark, directory, "p3_found").where("reason is not null").select("candidate_id")
+
+
+def p3_rates(spark: SparkSession, directory: str) -> DataFrame:
+    """Share of cut completions per model."""
+    rates = truncation.truncation_rates(_cuts(spark, directory, "p3_rates"))
+    return rates.withColumnRenamed("source", "model")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_runs": p2_runs}
+    return {
+        "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_runs": p2_runs,
+        "p3_found": p3_found, "p3_rates": p3_rates,
+    }
