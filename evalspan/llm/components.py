@@ -36,6 +36,8 @@ def connected_components(links: DataFrame, a: str, b: str, work: Workspace, name
     )
     edges = work.write(edges, f"{name}-0")
     total, print_ = _fingerprint(edges)
+    if not total:
+        return edges.selectExpr("hi as node", "lo as component")
     done = 0
     while True:
         # large star: each larger neighbour of a node is tied to the smallest node of its neighbourhood

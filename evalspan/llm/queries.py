@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import Workspace
 from ..tables import table
-from . import runs, splits, truncation
+from . import formatting, runs, splits, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,8 +66,32 @@ def p3_rates(spark: SparkSession, directory: str) -> DataFrame:
     return rates.withColumnRenamed("source", "model")
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Hashes whose sources are one text but for formatting, each with the smallest hash of its group."""
+    rows = table(spark, directory, "states").withColumn("sha", F.lower("source_sha256"))
+    groups = formatting.group_formatted(rows, "sha", "source", Workspace(spark, "p4_found"))
+    return groups.where("key <> group").select(F.col("group").alias("sha_a"), F.col("key").alias("sha_b"))
+
+
+def p4_copies(spark: SparkSession, directory: str) -> DataFrame:
+    """Each text once, named by its smallest hash, with its number of spellings and of rows; a missing hash is made
+    from the text."""
+    work = Workspace(spark, "p4_copies")
+    rows = table(spark, directory, "states").where("source is not null")
+    rows = rows.select("source", F.coalesce(F.lower("source_sha256"), F.sha2("source", 256)).alias("sha"))
+    groups = formatting.group_formatted(rows, "sha", "source", work)
+    copies = rows.groupBy("sha").agg(F.count("*").alias("n"))
+    return (
+        groups.join(copies, groups["key"] == copies["sha"])
+        .groupBy("group")
+        .agg(F.count("*").alias("spellings"), F.sum("n").alias("copies"))
+        .withColumnRenamed("group", "sha")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_runs": p2_runs,
         "p3_found": p3_found, "p3_rates": p3_rates,
+        "p4_found": p4_found, "p4_copies": p4_copies,
     }
