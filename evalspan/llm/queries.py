@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import Workspace
 from ..tables import table
-from . import formatting, runs, splits, truncation
+from . import formatting, mixing, runs, splits, tokens, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,9 +89,36 @@ def p4_copies(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
+    """Token ids of each document; an empty list for an empty or null text."""
+    return tokens.encode(table(spark, directory, "documents").select("doc_id", "text"), "text")
+
+
+def _mix(spark: SparkSession, directory: str, name: str) -> tuple[DataFrame, list[mixing.Plan]]:
+    work = Workspace(spark, name)
+    rows = table(spark, directory, "documents").where("text is not null").select(
+        "doc_id", mixing.source_name(F.col("source")).alias("source"),
+        F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("2"), "text").alias("h2"), "text",
+    )
+    sized = work.write(tokens.count_tokens(rows.where("source is not null"), "text"), "sized")
+    return mixing.mix(sized, table(spark, directory, "mix_targets"), work)
+
+
+def p7_mix(spark: SparkSession, directory: str) -> DataFrame:
+    """The mix in training order: one row per use of a text."""
+    return _mix(spark, directory, "p7_mix")[0].orderBy("position", "doc_id", "copy")
+
+
+def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.shares(*_mix(spark, directory, "p7_shares"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_runs": p2_runs,
         "p3_found": p3_found, "p3_rates": p3_rates,
         "p4_found": p4_found, "p4_copies": p4_copies,
+        "p6_ids": p6_ids,
+        "p7_mix": p7_mix, "p7_shares": p7_shares,
     }

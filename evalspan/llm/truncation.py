@@ -160,7 +160,7 @@ def find_truncated(
     loose = rows.where("kind = 'sentence' and not terminated and not marker")
     endings = loose.groupBy("ending").agg(F.count("*").alias("n"))
     # an ending with at least a twentieth of the rows: twenty at most
-    usual = endings.join(loose.agg(F.count("*").alias("all")), F.col("n") >= ENDING_SHARE * F.col("all")).where("n >= 2")
+    usual = endings.where(F.col("n") >= max(2, ENDING_SHARE * loose.count()))
     judged = (
         rows.join(base, "source", "left")
         .join(F.broadcast(usual.select("ending", F.lit(True).alias("usual"))), "ending", "left")
