@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import Workspace
 from ..tables import table
-from . import formatting, mixing, runs, splits, tokens, truncation
+from . import formatting, mixing, quality, runs, splits, tokens, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,6 +114,21 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.shares(*_mix(spark, directory, "p7_shares"))
 
 
+def _statistics(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    rows, words = table(spark, directory, "documents"), table(spark, directory, "common_words")
+    return quality.text_statistics(rows, "doc_id", "text", words, Workspace(spark, name))
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents that mostly, by characters, aren't prose."""
+    return _statistics(spark, directory, "p8_found").where("chars > 0 and prose_share < 0.5").select("doc_id")
+
+
+def p8_statistics(spark: SparkSession, directory: str) -> DataFrame:
+    """Counts, ratios and the leading kind of each document."""
+    return _statistics(spark, directory, "p8_statistics")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_runs": p2_runs,
@@ -121,4 +136,5 @@ def queries() -> dict[str, Query]:
         "p4_found": p4_found, "p4_copies": p4_copies,
         "p6_ids": p6_ids,
         "p7_mix": p7_mix, "p7_shares": p7_shares,
+        "p8_found": p8_found, "p8_statistics": p8_statistics,
     }
