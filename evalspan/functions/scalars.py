@@ -55,7 +55,8 @@ def wilson(successes: Column, trials: Column, z: float = Z95) -> tuple[Column, C
     below = 1 + z * z / n
     centre = share + z * z / (2 * n)
     half = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
-    return F.greatest(F.lit(0.0), (centre - half) / below), F.least(F.lit(1.0), (centre + half) / below)
+    lower, upper = F.greatest(F.lit(0.0), (centre - half) / below), F.least(F.lit(1.0), (centre + half) / below)
+    return F.when(trials > 0, lower), F.when(trials > 0, upper)
 
 
 def disjoint(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:

@@ -1,7 +1,9 @@
-"""The core queries in SQL."""
+"""The core queries in SQL, by name."""
 
 from __future__ import annotations
 
+from .queries import MODULES
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
