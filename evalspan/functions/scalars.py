@@ -88,12 +88,12 @@ def strip_root(path: Column, root: str = "/testbed/") -> Column:
 def tagged_lines(text: Column, tag: str) -> Column:
     """The lines, trimmed and without blank ones, of the first ``<tag>`` block; an empty array without a block."""
     block = F.regexp_extract(text, f"(?s)<{tag}>(.*?)</{tag}>", 1)
-    return F.filter(F.transform(F.split(block, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_said(text: Column, skip: str = "OBSERVATION:", most: int = 500) -> Column:
     """The first line that is neither blank nor the label ``skip``, cut to ``most`` characters."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & (x != skip))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & (x != skip))
     return F.substring(F.get(lines, 0), 1, most)
 
 

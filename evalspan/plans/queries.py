@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import metrics, panels, relations, rollouts
+from . import metrics, panels, relations, rollouts, studies, texts
 from .metrics import candidate_q_wilson
 
-MODULES = (metrics, rollouts, panels, relations)
+MODULES = (metrics, rollouts, panels, relations, texts, studies)
 
 __all__ = ["candidate_q_wilson", "queries"]
 
