@@ -285,6 +285,9 @@ def _collisions(postings: DataFrame, threshold: float) -> DataFrame:
                 return None
             i, j = np.concatenate(one).astype("int64"), np.concatenate(two).astype("int64")
             near = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
+            # before, at and after this collision: what the two sets could share at most
+            most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - 1 - pos[i], n[j] - 1 - pos[j])
+            near &= most >= threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9
             i, j = i[near], j[near]
             swap = ids[i] > ids[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -388,9 +391,11 @@ def near_groups(df: DataFrame, work: Workspace, threshold: float = 0.8, size: in
     posted = _postings(grouped, sketch, threshold).repartition("key").sortWithinPartitions("key")
     collisions = work.write(_collisions(posted, threshold), "collisions")
     pairs = collisions.where("kind = 0").drop("kind", "key").unionByName(_heavy_collisions(collisions.where("kind = 1"), threshold))
-    # counted up to the last collision, plus what may follow it in either set
+    # Counted up to the last collision, plus what may follow it in either set. The set whose prefix ends first in the
+    # order of all shingles has no further one in common before its suffix, so no more than the longer suffix follows.
     last = F.least(F.col("na") - 1 - F.max("pa"), F.col("nb") - 1 - F.max("pb"))
-    retained = pairs.groupBy("a", "b", "na", "nb").agg((F.count("*") + last).alias("most"))
+    suffix = F.greatest(F.ceil(threshold * F.col("na") - 1e-9), F.ceil(threshold * F.col("nb") - 1e-9)) - 1
+    retained = pairs.groupBy("a", "b", "na", "nb").agg((F.count("*") + F.least(last, suffix)).alias("most"))
     retained = retained.where(F.col("most") >= F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b")
     verified = work.write(_verify(retained, sets, threshold), "verified")
     groups = connected_components(links.unionByName(verified), "a", "b", work, "groups")
