@@ -36,7 +36,7 @@ _MASK = np.uint64((1 << BITS) - 1)
 #: Coordinates of the min-hash signature under which texts are posted in step 2, and leaders that a text is compared with.
 COORDINATES, LEADERS = 3, 8
 #: Counters of the frequency sketch, and parts in which it is added up.
-SKETCH, SLICES = 1 << 21, 32
+SKETCH, SLICES = 1 << 22, 32
 #: Rows under one key that one task pairs in memory; keys with more go through a join.
 KEY_ROWS = 20_000
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], "uint64")
@@ -156,6 +156,27 @@ def shingle_sets(df: DataFrame, size: int) -> DataFrame:
     return df.where("text is not null").select("record_set", "id", "text").mapInArrow(run, _SET_SCHEMA)
 
 
+def _merge_copies(posted: DataFrame) -> DataFrame:
+    """Of equal sets under one coordinate only the first keeps its set; the others point to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = None, {}
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in ("record_set", "c0", "id", "root", "set")}
+            for k, (record_set, value, key, data) in enumerate(zip(*(columns[c] for c in ("record_set", "c0", "id", "set")))):
+                if (record_set, value) != at or len(seen) > 200_000:
+                    at, seen = (record_set, value), {}
+                if data is None:
+                    continue
+                first = seen.setdefault(data, key)
+                if first != key:
+                    columns["root"][k], columns["set"][k] = first, None
+            arrays = [pa.array(columns[f.name], pa.int64() if f.name == "root" else pa.binary()) if f.name in ("root", "set") else batch.column(f.name) for f in _SET_SCHEMA]
+            yield pa.RecordBatch.from_arrays(arrays, _SET_SCHEMA.names)
+
+    return posted.mapInArrow(run, _SET_SCHEMA)
+
+
 def _leader_links(sorted_sets: DataFrame, coordinate: str, threshold: float) -> DataFrame:
     """Links of each text with the first leader that it resembles, among the last few under its coordinate."""
 
@@ -182,22 +203,23 @@ def _leader_links(sorted_sets: DataFrame, coordinate: str, threshold: float) ->
 
 
 def frequency_sketch(sets: DataFrame) -> np.ndarray:
-    """Counts of shingles by hash in SKETCH counters, as 8-bit logarithms: two megabytes whatever the input."""
+    """Counts of shingles by hash in SKETCH counters, as 8-bit logarithms: four megabytes whatever the input."""
     width = SKETCH // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, "int64")
+        total = np.zeros(SKETCH, "u1")  # of one task, full at 255
         for batch in batches:
             for data in batch.column("set").to_pylist():
-                total[(unpack_set(data) & np.uint64(SKETCH - 1)).astype("int64")] += 1
+                at = (unpack_set(data) & np.uint64(SKETCH - 1)).astype("int64")
+                total[at] += total[at] < 255
         schema = T.StructType([T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType())])
-        parts = total.reshape(SLICES, width).astype("int32")
+        parts = total.reshape(SLICES, width)
         yield _batch(schema, [list(range(SLICES)), [p.tobytes() for p in parts]])
 
     def add(f):
         total = np.zeros(width, "int64")
         for data in f["counts"]:
-            total += np.frombuffer(data, "int32")
+            total += np.frombuffer(data, "u1")
         level = np.minimum(255, np.round(8 * np.log2(total + 1.0))).astype("u1")
         return f.iloc[:1].assign(counts=[level.tobytes()])[["slice", "counts"]]
 
@@ -372,7 +394,7 @@ def near_groups(df: DataFrame, work: Workspace, threshold: float = 0.8, size: in
     raw = shingle_sets(coded, size)
     # posted under the first coordinate; adaptive execution splits a hot value, which costs nothing but a later link
     posted = raw.hint("rebalance", "record_set", "c0").sortWithinPartitions("record_set", "c0", "n", "id")
-    rows = work.write(posted, "sets")
+    rows = work.write(_merge_copies(posted), "sets")
     sets = rows.where("set is not null")
     # the table keeps the order of the first coordinate, so that its leaders need no further shuffle
     links = rows.where("id <> root").selectExpr("id as a", "root as b").unionByName(_leader_links(sets, "c0", threshold))
