@@ -420,11 +420,16 @@ def near_groups(df: DataFrame, work: Workspace, threshold: float = 0.8, size: in
     retained = pairs.groupBy("a", "b", "na", "nb").agg((F.count("*") + F.least(last, suffix)).alias("most"))
     retained = retained.where(F.col("most") >= F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b")
     verified = work.write(_verify(retained, sets, threshold), "verified")
-    groups = connected_components(links.unionByName(verified), "a", "b", work, "groups")
+    # the new links tie first groups together
+    one = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    two = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    ties = verified.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    groups = connected_components(ties, "a", "b", work, "groups").withColumnRenamed("node", "first").withColumnRenamed("component", "last")
     texts = rows.groupBy("record_set", "t1", "t2").agg(F.min("id").alias("id"))
-    named = texts.join(groups, F.col("id") == F.col("node"), "left")
+    named = texts.join(found, F.col("id") == F.col("node"), "left").withColumn("first", F.coalesce("component", "id"))
+    named = named.join(groups, "first", "left")
     # the component is named by any of its rows; its smallest text is what counts
-    named = named.select("record_set", "id", F.coalesce("component", "id").alias("c"))
+    named = named.select("record_set", "id", F.coalesce("last", "first").alias("c"))
     least = named.groupBy("c").agg(F.min("id").alias("least"))
     count = max(1, len(names))
     return named.join(least, "c").select(
