@@ -45,7 +45,7 @@ def anchors_first(df: DataFrame, group: str, key: str, seed: str, n: int, least_
 
 
 def quota_panel(
-    df: DataFrame, key: str, repo: str, outcome: str, order: Sequence[str], quotas: Mapping[bool, int], per_repo: int
+    df: DataFrame, key: str, repo: str, outcome: str, order: Sequence[str], quotas: Mapping[bool, int], per_repo: int, strict: bool = True
 ) -> DataFrame:
     """Greedy panel: rows in order, skipping outcomes whose quota is full and repositories at their cap.
 
@@ -53,7 +53,7 @@ def quota_panel(
     the quota full, for good. A row of those is refused only where the quota is full or the other outcome has used up
     the cap, which the at most ``total`` taken rows can cause for ``total`` repositories. So per outcome the first
     ``quota + total * per_repo`` of them hold every row of the panel, whatever the input; one pass over that bounded
-    number decides. Raises if a quota can't be filled. Rows with a null repository or outcome are left out.
+    number decides. If a quota can't be filled, ``strict`` raises; else the panel is as large as it gets. Rows with a null repository or outcome are left out.
     """
     total = sum(quotas.values())
     rows = df.where(F.col(repo).isNotNull() & F.col(outcome).isNotNull()).select(key, repo, outcome, *[c for c in order if c not in (key, repo, outcome)])
@@ -69,7 +69,7 @@ def quota_panel(
             left[r[outcome]] -= 1
             used[r[repo]] = used.get(r[repo], 0) + 1
             taken.append((r[key], r[repo], r[outcome]))
-    if any(left.values()):
+    if strict and any(left.values()):
         raise ValueError(f"the quotas can't be filled: {left} left")
     return spark.createDataFrame(pd.DataFrame(taken, columns=schema.names), schema)
 

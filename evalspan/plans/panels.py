@@ -43,7 +43,7 @@ def quota_panel(spark: SparkSession, directory: str) -> DataFrame:
     """Greedy panel of candidates, as many solved as unsolved, with a cap per repository."""
     c = views.candidates(spark, directory).where("solved is not null").withColumn("repo", fn.repo_key(F.col("task")))
     c = selection.hash_order(c.withColumn("key", F.concat_ws("/", "task", F.col("sample").cast("string"))), SEED, "key")
-    out = selection.quota_panel(c, "key", "repo", "solved", ["digest", "key"], QUOTAS, PER_REPO)
+    out = selection.quota_panel(c, "key", "repo", "solved", ["digest", "key"], QUOTAS, PER_REPO, strict=False)
     return out.select("key", "repo", F.col("solved").cast("int").alias("solved"))
 
 
