@@ -16,12 +16,21 @@ SCHEMA = (
 )
 EDITOR, SHELLS = "str_replace_editor", ("bash", "shell", "terminal")
 EDITS = ("create", "insert", "str_replace")
-#: Shell commands that may change files, by label; found anywhere in a command whatever the letter case.
+# Labels of shell commands that may change files, and the patterns that define them, found anywhere in a
+# command whatever the letter case.
 SUSPICIOUS = {
-    "sed_in_place": r"\bsed\s+(-\w+\s+)*-i", "perl_in_place": r"\bperl\s+-\w*i", "redirect": r"(^|[^<>0-9])>{1,2}\s*[\w./]",
-    "tee": r"\btee\b", "move_or_copy": r"\b(mv|cp)\s", "remove": r"\brm\s", "git_restore": r"\bgit\s+(checkout|restore|reset|stash)\b",
-    "apply_patch": r"\b(git\s+apply|patch\s+-p)", "inline_python": r"\bpython[0-9.]*\s+-c\b",
+    "sed_in_place": r"\bsed\s+(?:[^\n]*\s)?-i(?:\s|['\"]|$)",
+    "perl_in_place": r"\bperl\s+[^\n]*(?:-pi|-p\s+-i)\b",
+    "python_write_text": r"\bwrite_text\s*\(",
+    "python_open_write": r"\bopen\s*\([^\n]{0,160},\s*['\"](?:w|a|x)[+b]?['\"]",
+    "shell_redirect": r"\b(?:cat|echo|printf)\b[^\n]*(?:>>|>)",
+    "tee": r"(?:^|[;&|]\s*)tee(?:\s|$)",
+    "filesystem_command": r"(?:^|[;&|]\s*)(?:mv|cp|rm|touch)\s",
+    "git_mutation": r"\bgit\s+(?:checkout|restore|apply|reset|clean)\b",
+    "patch_command": r"(?:^|[;&|]\s*)patch(?:\s|$)",
 }
+# The four classes of a final patch against the edits.
+EMPTY, ALIGNED, NO_EDIT, DISJOINT = "empty_patch", "aligned_non_create_path", "no_non_create_editor_mutation", "disjoint_nonempty_patch"
 
 
 def messages(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
@@ -75,9 +84,9 @@ def edit_outcomes(edits: DataFrame, answered: DataFrame, keys: Sequence[str]) ->
     return joined.withColumn("succeeded", F.coalesce(ok, F.lit(False))).withColumn("first_line", fn.first_said(F.col("response"))).drop("response")
 
 
-def patch_alignment(patch_paths: Column, edited: Column, edited_not_created: Column) -> Column:
-    """How a final patch and the edits' paths meet: four classes, the first that holds."""
-    return fn.first_label([
-        (F.size(patch_paths) == 0, "empty_patch"), (F.arrays_overlap(patch_paths, edited_not_created), "aligned"),
-        (F.size(edited_not_created) == 0, "created_only"), (~F.arrays_overlap(patch_paths, edited_not_created), "disjoint"),
-    ])
+def patch_alignment(patch: Column, edited_not_created: Column) -> Column:
+    """How a final patch meets the paths of the edits that aren't creations: the first class that holds. A null patch is empty."""
+    paths = fn.patch_paths(F.coalesce(patch, F.lit("")))
+    return fn.first_label(
+        [(F.coalesce(patch, F.lit("")) == "", EMPTY), (F.arrays_overlap(paths, edited_not_created), ALIGNED), (F.size(edited_not_created) == 0, NO_EDIT)], DISJOINT
+    )

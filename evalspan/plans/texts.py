@@ -84,10 +84,9 @@ def edit_outcomes(spark: SparkSession, directory: str) -> DataFrame:
 def patch_alignment(spark: SparkSession, directory: str) -> DataFrame:
     rows = logs(spark, directory)
     edits = msg.structured_edits(msg.tool_calls(msg.messages(rows, "messages", KEYS), KEYS)).withColumn("path", fn.strip_root(F.col("path")))
-    paths = edits.groupBy(*KEYS).agg(F.collect_set("path").alias("edited"), F.collect_set(F.when(F.col("command") != "create", F.col("path"))).alias("changed"))
-    empty = F.array().cast("array<string>")
-    both = rows.select(*KEYS, fn.patch_paths(F.col("patch")).alias("patched")).join(paths, KEYS, "left")
-    label = msg.patch_alignment(F.col("patched"), F.coalesce("edited", empty), F.coalesce("changed", empty))
+    changed = edits.where("command <> 'create'").groupBy(*KEYS).agg(F.collect_set("path").alias("changed"))
+    both = rows.select(*KEYS, "patch").join(changed, KEYS, "left")
+    label = msg.patch_alignment(F.col("patch"), F.coalesce("changed", F.array().cast("array<string>")))
     return both.groupBy(label.alias("class")).agg(F.count("*").alias("rollouts"))
 
 
@@ -172,13 +171,13 @@ ORACLE = {
     "op_p2_action_counts": f"{_V} SELECT task, sample, replicate, count(*) AS actions, 2 * count(*) AS messages FROM s GROUP BY ALL",
     "op_p6_suspicious_shell": f"""{_V}, k AS (SELECT step, state_id % 10 = 0 AS broken FROM s WHERE step IN (3, 5, 7))
 SELECT label, count(*) AS calls FROM (SELECT unnest(CASE WHEN broken OR step = 5 THEN [NULL] WHEN step = 3 THEN ['sed_in_place']
-  ELSE ['git_restore', 'redirect', 'remove'] END) AS label FROM k) GROUP BY label""",
+  ELSE ['filesystem_command', 'git_mutation'] END) AS label FROM k) GROUP BY label""",
     "op_p7_undo_counts": f"{_V} SELECT task, count(*) AS undone FROM s WHERE step = 6 AND state_id % 10 <> 0 GROUP BY task",
     "j14_edit_outcomes": f"""{_EDITS} SELECT task, sample, replicate, call_id, (coalesce(solved, FALSE) = (command = 'create'))::INT AS succeeded,
   CASE WHEN solved THEN 'File created successfully at: /testbed/' || path ELSE 'The file /testbed/' || path || ' has been edited.' END AS first_line FROM e""",
     "op_p5_patch_alignment": f"""{_EDITS}, {_PATCH}, m AS (SELECT task, sample, replicate, list(path) FILTER (command <> 'create') AS changed FROM e GROUP BY ALL)
-SELECT CASE WHEN len(coalesce(paths, [])) = 0 THEN 'empty_patch' WHEN list_has_any(paths, coalesce(changed, [])) THEN 'aligned'
-  WHEN len(coalesce(changed, [])) = 0 THEN 'created_only' ELSE 'disjoint' END AS class, count(*) AS rollouts
+SELECT CASE WHEN len(coalesce(paths, [])) = 0 THEN 'empty_patch' WHEN list_has_any(paths, coalesce(changed, [])) THEN 'aligned_non_create_path'
+  WHEN len(coalesce(changed, [])) = 0 THEN 'no_non_create_editor_mutation' ELSE 'disjoint_nonempty_patch' END AS class, count(*) AS rollouts
 FROM d LEFT JOIN m USING (task, sample, replicate) GROUP BY 1""",
     "f8_patch_paths": f"{_V}, {_PATCH} SELECT task, sample, replicate, array_to_string(paths, ',') AS old, array_to_string(paths, ',') AS new FROM d WHERE len(paths) > 0",
     "f1_task_parts": f"""{_V}, k AS (SELECT *, sha256(task || chr(0) || row_id) AS d FROM t)

@@ -31,9 +31,14 @@ def test_only_readable_edits_are_kept(spark):
 
 
 def test_suspicious_commands(spark):
-    log = [call("bash", json.dumps({"command": c})) for c in ("sed -i s/a/b/ x", "grep -rn x . 2>&1", "echo a > b.txt", "GIT stash", "python3 -c 'x'")]
+    commands = [
+        ("sed -i s/a/b/ x", ["sed_in_place"]), ("grep -rn x . 2>&1", []), ("echo a > b.txt", ["shell_redirect"]), ("GIT reset --hard", ["git_mutation"]),
+        ("cd /w && rm -rf .d && d init", ["filesystem_command"]), ("rm /w/a.py", ["filesystem_command"]), ("ls | tee x; patch -p1", ["patch_command", "tee"]),
+        ("python -c \"open('a', 'w').write(1)\"", ["python_open_write"]), ("perl -pi -e x", ["perl_in_place"]), ("p.write_text (1)", ["python_write_text"]),
+    ]
+    log = [call("bash", json.dumps({"command": c})) for c, _ in commands]
     got = [r["labels"] for r in msg.shell_commands(calls(spark, log, [call("bash", "{bad")])).orderBy("k", "message_index").collect()]
-    assert got == [["sed_in_place"], [], ["redirect"], ["git_restore"], ["inline_python"], []]
+    assert got == [*[labels for _, labels in commands], []]
     undo = [call(msg.EDITOR, json.dumps({"command": "undo_edit"}))]
     assert msg.undo_calls(calls(spark, undo, log)).count() == 1
 
@@ -50,10 +55,11 @@ def test_last_response_decides(spark):
 
 
 def test_patch_alignment_classes(spark):
-    data = [([], ["a"], ["a"]), (["a"], ["a"], ["a"]), (["b"], ["a"], ["a"]), (["b"], ["b"], [])]
-    df = spark.createDataFrame(data, "p array<string>, e array<string>, c array<string>")
-    got = [r[0] for r in df.select(msg.patch_alignment(F.col("p"), F.col("e"), F.col("c"))).collect()]
-    assert got == ["empty_patch", "aligned", "disjoint", "created_only"]
+    diff = "diff --git a/a.py b/a.py\n"
+    data = [("", ["a.py"]), (None, []), (diff, ["a.py", "b.py"]), (diff, ["b.py"]), (diff, [])]
+    df = spark.createDataFrame(data, "p string, c array<string>")
+    got = [r[0] for r in df.select(msg.patch_alignment(F.col("p"), F.col("c"))).collect()]
+    assert got == [msg.EMPTY, msg.EMPTY, msg.ALIGNED, msg.DISJOINT, msg.NO_EDIT]
 
 
 def test_patch_paths_of_both_sides(spark):
