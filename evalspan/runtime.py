@@ -60,17 +60,19 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/evalspan-{name}-{uuid.uuid4().hex}"
+        self.written: dict[str, str] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as parquet and return the table read back; this cuts the lineage."""
-        path = f"{self.root}/{name}"
+        path = f"{self.root}/{len(self.written)}-{name}" if name not in self.written else f"{self.root}/{uuid.uuid4().hex}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.written[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        """Delete a table that no later plan reads."""
+        """Delete the table last written under a name; no later plan may read it."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(self.written[name])
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
