@@ -36,7 +36,7 @@ _MASK = np.uint64((1 << BITS) - 1)
 #: Coordinates of the min-hash signature under which texts are posted in step 2, and leaders that a text is compared with.
 COORDINATES, LEADERS = 3, 8
 #: Counters of the frequency sketch, and parts in which it is added up.
-SKETCH, SLICES = 1 << 22, 32
+SKETCH, SLICES = 1 << 24, 32
 #: Rows under one key that one task pairs in memory; keys with more go through a join.
 KEY_ROWS = 20_000
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], "uint64")
@@ -203,7 +203,7 @@ def _leader_links(sorted_sets: DataFrame, coordinate: str, threshold: float) ->
 
 
 def frequency_sketch(sets: DataFrame) -> np.ndarray:
-    """Counts of shingles by hash in SKETCH counters, as 8-bit logarithms: four megabytes whatever the input."""
+    """Counts of shingles by hash in SKETCH counters, as 8-bit logarithms: 16 megabytes whatever the input."""
     width = SKETCH // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
