@@ -102,6 +102,17 @@ def needed(na: int, nb: int, threshold: float) -> int:
     return int(np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9))
 
 
+def collisions_needed(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """The least number of collisions of two prefixes if the sets have the similarity.
+
+    The set whose prefix ends first in the order of all shingles has no further one in common before its suffix, so no
+    more than the longer suffix can follow.
+    """
+    need = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
+    suffix = np.maximum(np.ceil(threshold * na - 1e-9), np.ceil(threshold * nb - 1e-9)) - 1
+    return np.maximum(1, need - suffix).astype("int32")
+
+
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     na, nb = len(a), len(b)
     return min(na, nb) >= threshold * max(na, nb) - 1e-9 and overlap(a, b) >= needed(na, nb, threshold)
@@ -118,7 +129,7 @@ _LINK_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")]
 _COLLISION_SCHEMA = T.StructType(
     [T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType())]
     + [T.StructField(c, T.LongType()) for c in ("a", "b")]
-    + [T.StructField(c, T.IntegerType()) for c in ("pa", "pb", "na", "nb")]
+    + [T.StructField(c, T.IntegerType()) for c in ("x", "n")]
 )
 
 
@@ -273,19 +284,20 @@ def _pairs_under_key(comp, ids, n, pos, threshold: float):
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def _collisions(postings: DataFrame, threshold: float) -> DataFrame:
-    """Collisions of texts of different groups (kind 0), and the rows of keys too large for one task (kind 1)."""
+def _collisions(postings: DataFrame, threshold: float, key_rows: int) -> DataFrame:
+    """Collisions of texts of different groups (kind 0), with the number in ``x`` that a pair needs; and the rows of keys
+    too large for one task (kind 1), with group, position and size in ``b``, ``x`` and ``n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         rows, passing = 0, None
 
-        def emit(kind, key, a, b, pa_, pb, na, nb):
-            full = lambda x, t: np.full(len(a), x, t)
+        def emit(kind, key, a, b, x, n):
+            full = lambda v, t: np.full(len(a), v, t)
             return pa.RecordBatch.from_arrays(
                 [pa.array(full(kind, "int32")), pa.array(key if isinstance(key, np.ndarray) else full(key, "int64"))]
-                + [pa.array(x.astype("int64")) for x in (a, b)]
-                + [pa.array(x.astype("int32")) for x in (pa_, pb, na, nb)],
+                + [pa.array(v.astype("int64")) for v in (a, b)]
+                + [pa.array(v.astype("int32") if isinstance(v, np.ndarray) else full(v, "int32")) for v in (x, n)],
                 _COLLISION_SCHEMA.names,
             )
 
@@ -313,7 +325,7 @@ def _collisions(postings: DataFrame, threshold: float) -> DataFrame:
             i, j = i[near], j[near]
             swap = ids[i] > ids[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            return emit(0, 0, ids[i], ids[j], pos[i], pos[j], n[i], n[j])
+            return emit(0, 0, ids[i], ids[j], collisions_needed(n[i], n[j], threshold), 0)
 
         def arrays(batch):
             return [batch.column(c).to_numpy() for c in ("key", "comp", "id", "n", "pos")]
@@ -326,7 +338,7 @@ def _collisions(postings: DataFrame, threshold: float) -> DataFrame:
                 same = cols[0] == passing
                 if same.any():
                     k, c, i, n, p = (x[same] for x in cols)
-                    yield emit(1, k, i, c, p, p, n, n)
+                    yield emit(1, k, i, c, p, n)
                     cols = [x[~same] for x in cols]
                     if not len(cols[0]):
                         continue
@@ -336,10 +348,10 @@ def _collisions(postings: DataFrame, threshold: float) -> DataFrame:
             cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on in the next batch
             starts = np.nonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])[0]
             sizes = np.diff(np.r_[starts, len(cols[0])])
-            big = np.repeat(sizes > KEY_ROWS, sizes)
+            big = np.repeat(sizes > key_rows, sizes)
             if big.any():
                 k, c, i, n, p = (x[big] for x in cols)
-                yield emit(1, k, i, c, p, p, n, n)
+                yield emit(1, k, i, c, p, n)
                 if big[-1]:
                     passing = cols[0][-1]
             small = ~big
@@ -359,7 +371,7 @@ def _collisions(postings: DataFrame, threshold: float) -> DataFrame:
 
 def _heavy_collisions(rows: DataFrame, threshold: float) -> DataFrame:
     """The same for keys with very many rows, as a join that adaptive execution splits where it is skewed."""
-    rows = rows.select("key", F.col("a").alias("id"), F.col("b").alias("comp"), F.col("pa").alias("pos"), F.col("na").alias("n"))
+    rows = rows.select("key", F.col("a").alias("id"), F.col("b").alias("comp"), F.col("x").alias("pos"), "n")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
     major = sizes.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps"))
     rows = rows.join(major.where("comps > 1"), "key")
@@ -367,18 +379,17 @@ def _heavy_collisions(rows: DataFrame, threshold: float) -> DataFrame:
     either = (F.col("y.comp") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
     sizes_ok = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & either & sizes_ok)
-    first = F.col("x.id") < F.col("y.id")
-
-    def pick(c, when):
-        return F.when(when, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
-
+    t = threshold
+    need = F.ceil(t / (1 + t) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    suffix = F.greatest(F.ceil(t * F.col("x.n") - 1e-9), F.ceil(t * F.col("y.n") - 1e-9)) - 1
     return pairs.select(
-        pick("id", first).alias("a"), pick("id", ~first).alias("b"), pick("pos", first).alias("pa"),
-        pick("pos", ~first).alias("pb"), pick("n", first).alias("na"), pick("n", ~first).alias("nb"),
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.greatest(F.lit(1), need - suffix).cast("int").alias("x")
     )
 
 
-def near_groups(df: DataFrame, work: Workspace, threshold: float = 0.8, size: int = 5) -> DataFrame:
+def near_groups(
+    df: DataFrame, work: Workspace, threshold: float = 0.8, size: int = 5, key_rows: int = KEY_ROWS
+) -> DataFrame:
     """``record_set, id, group`` of every distinct text with at least ``size`` words: the smallest id of its group.
 
     ``df`` has ``record_set, id, text``; ids are unique within a set. Of equal texts only the smallest id appears.
@@ -399,7 +410,8 @@ def near_groups(df: DataFrame, work: Workspace, threshold: float = 0.8, size: in
     # the table keeps the order of the first coordinate, so that its leaders need no further shuffle
     links = rows.where("id <> root").selectExpr("id as a", "root as b").unionByName(_leader_links(sets, "c0", threshold))
     for k in range(1, COORDINATES):
-        posted = sets.hint("rebalance", "record_set", f"c{k}").sortWithinPartitions("record_set", f"c{k}", "n", "id")
+        posted = sets.select("record_set", f"c{k}", "n", "id", "set").hint("rebalance", "record_set", f"c{k}")
+        posted = posted.sortWithinPartitions("record_set", f"c{k}", "n", "id")
         links = links.unionByName(_leader_links(posted, f"c{k}", threshold))
     links = work.write(links, "links")
     found = work.write(connected_components(links, "a", "b", work, "first"), "first")
@@ -411,14 +423,9 @@ def near_groups(df: DataFrame, work: Workspace, threshold: float = 0.8, size: in
         "kind", F.coalesce("component", "id").alias("comp"), "id", "set"
     )
     posted = _postings(grouped, sketch, threshold).repartition("key").sortWithinPartitions("key")
-    collisions = work.write(_collisions(posted, threshold), "collisions")
-    pairs = collisions.where("kind = 0").drop("kind", "key").unionByName(_heavy_collisions(collisions.where("kind = 1"), threshold))
-    # Counted up to the last collision, plus what may follow it in either set. The set whose prefix ends first in the
-    # order of all shingles has no further one in common before its suffix, so no more than the longer suffix follows.
-    last = F.least(F.col("na") - 1 - F.max("pa"), F.col("nb") - 1 - F.max("pb"))
-    suffix = F.greatest(F.ceil(threshold * F.col("na") - 1e-9), F.ceil(threshold * F.col("nb") - 1e-9)) - 1
-    retained = pairs.groupBy("a", "b", "na", "nb").agg((F.count("*") + F.least(last, suffix)).alias("most"))
-    retained = retained.where(F.col("most") >= F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b")
+    collisions = work.write(_collisions(posted, threshold, key_rows), "collisions")
+    pairs = collisions.where("kind = 0").select("a", "b", "x").unionByName(_heavy_collisions(collisions.where("kind = 1"), threshold))
+    retained = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("x").alias("x")).where("k >= x").select("a", "b")
     verified = work.write(_verify(retained, sets, threshold), "verified")
     # the new links tie first groups together
     one = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
