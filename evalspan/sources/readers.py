@@ -73,6 +73,17 @@ def test_report(spark: SparkSession, path: str) -> DataFrame:
     return cases.groupBy("_file").agg(F.count("*").alias("collected"), present("failure").alias("failures"), present("error").alias("errors"), present("skipped").alias("skipped"))
 
 
+def report_counts(document: Column) -> Column:
+    """The same numbers as a struct, for a whole report held in a column; null for null and for what isn't XML."""
+    case = "struct<_name: string, failure: string, error: string, skipped: string>"
+    cases = F.from_xml(document, f"testcase array<{case}>", {"nullValue": "\u0000"})["testcase"]
+
+    def having(c: str) -> Column:
+        return F.size(F.filter(cases, lambda t: t[c].isNotNull()))
+
+    return F.struct(F.size(cases).alias("collected"), having("failure").alias("failures"), having("error").alias("errors"), having("skipped").alias("skipped"))
+
+
 def report_verdict(report: DataFrame, requested: int) -> DataFrame:
     """``valid`` if as many ran as were requested and none was skipped; ``nonpassing`` counts failures and errors."""
     return report.withColumn("valid", (F.col("collected") == requested) & (F.col("skipped") == 0)).withColumn("nonpassing", F.col("failures") + F.col("errors"))
