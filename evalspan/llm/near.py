@@ -127,10 +127,13 @@ _SET_SCHEMA = T.StructType(
 )
 _LINK_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
 _COLLISION_SCHEMA = T.StructType(
-    [T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType())]
-    + [T.StructField(c, T.LongType()) for c in ("a", "b")]
-    + [T.StructField(c, T.IntegerType()) for c in ("x", "n")]
+    [
+        T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("a", T.LongType()),
+        T.StructField("n", T.IntegerType()), T.StructField("bs", T.ArrayType(T.LongType())), T.StructField("xs", T.ArrayType(T.IntegerType())),
+    ]
 )
+#: A component's number carries the logarithm of its size in the bits from here on, so that larger ones are larger.
+SIZE_BIT = 54
 
 
 def _batch(schema: T.StructType, columns: list) -> pa.RecordBatch:
@@ -285,22 +288,25 @@ def _pairs_under_key(comp, ids, n, pos, threshold: float):
 
 
 def _collisions(postings: DataFrame, threshold: float, key_rows: int) -> DataFrame:
-    """Collisions of texts of different groups (kind 0), with the number in ``x`` that a pair needs; and the rows of keys
-    too large for one task (kind 1), with group, position and size in ``b``, ``x`` and ``n``."""
+    """Collisions of texts of different groups (kind 0): the text ``a`` of the smaller group, its partners ``bs`` and the
+    numbers ``xs`` of collisions that the pairs need; and the rows of keys too large for one task (kind 1), with group,
+    position and size in ``bs``, ``xs`` and ``n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         rows, passing = 0, None
 
-        def emit(kind, key, a, b, x, n):
-            full = lambda v, t: np.full(len(a), v, t)
+        def emit(kind, key, a, b, x, n, starts):
+            ends = pa.array(np.r_[starts, len(b)].astype("int32"))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (b.astype("int64"), x.astype("int32"))]
             return pa.RecordBatch.from_arrays(
-                [pa.array(full(kind, "int32")), pa.array(key if isinstance(key, np.ndarray) else full(key, "int64"))]
-                + [pa.array(v.astype("int64")) for v in (a, b)]
-                + [pa.array(v.astype("int32") if isinstance(v, np.ndarray) else full(v, "int32")) for v in (x, n)],
+                [pa.array(np.full(len(a), kind, "int32")), pa.array(key), pa.array(a.astype("int64")), pa.array(n.astype("int32")), *lists],
                 _COLLISION_SCHEMA.names,
             )
 
+        def passed_on(key, comp, ids, n, pos):
+            return emit(1, key, ids, comp, pos, n, np.arange(len(ids)))
+
         def pairs(key, comp, ids, n, pos):
             """All keys of the arrays, which hold whole keys, vectorised for the many small ones."""
             starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
@@ -323,9 +329,13 @@ def _collisions(postings: DataFrame, threshold: float, key_rows: int) -> DataFra
             most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - 1 - pos[i], n[j] - 1 - pos[j])
             near &= most >= threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9
             i, j = i[near], j[near]
-            swap = ids[i] > ids[j]
+            swap = comp[i] > comp[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            return emit(0, 0, ids[i], ids[j], collisions_needed(n[i], n[j], threshold), 0)
+            order = np.argsort(ids[i], kind="stable")
+            i, j = i[order], j[order]
+            at = np.nonzero(np.r_[True, ids[i][1:] != ids[i][:-1]])[0] if len(i) else np.empty(0, "int64")
+            none = np.zeros(len(at), "int64")
+            return emit(0, none, ids[i][at], ids[j], collisions_needed(n[i], n[j], threshold), none, at)
 
         def arrays(batch):
             return [batch.column(c).to_numpy() for c in ("key", "comp", "id", "n", "pos")]
@@ -337,8 +347,7 @@ def _collisions(postings: DataFrame, threshold: float, key_rows: int) -> DataFra
             if passing is not None:  # the rest of a key that was given up
                 same = cols[0] == passing
                 if same.any():
-                    k, c, i, n, p = (x[same] for x in cols)
-                    yield emit(1, k, i, c, p, n)
+                    yield passed_on(*(x[same] for x in cols))
                     cols = [x[~same] for x in cols]
                     if not len(cols[0]):
                         continue
@@ -350,8 +359,7 @@ def _collisions(postings: DataFrame, threshold: float, key_rows: int) -> DataFra
             sizes = np.diff(np.r_[starts, len(cols[0])])
             big = np.repeat(sizes > key_rows, sizes)
             if big.any():
-                k, c, i, n, p = (x[big] for x in cols)
-                yield emit(1, k, i, c, p, n)
+                yield passed_on(*(x[big] for x in cols))
                 if big[-1]:
                     passing = cols[0][-1]
             small = ~big
@@ -371,7 +379,7 @@ def _collisions(postings: DataFrame, threshold: float, key_rows: int) -> DataFra
 
 def _heavy_collisions(rows: DataFrame, threshold: float) -> DataFrame:
     """The same for keys with very many rows, as a join that adaptive execution splits where it is skewed."""
-    rows = rows.select("key", F.col("a").alias("id"), F.col("b").alias("comp"), F.col("x").alias("pos"), "n")
+    rows = rows.select("key", F.col("a").alias("id"), F.get("bs", 0).alias("comp"), F.get("xs", 0).alias("pos"), "n")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
     major = sizes.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps"))
     rows = rows.join(major.where("comps > 1"), "key")
@@ -382,8 +390,10 @@ def _heavy_collisions(rows: DataFrame, threshold: float) -> DataFrame:
     t = threshold
     need = F.ceil(t / (1 + t) * (F.col("x.n") + F.col("y.n")) - 1e-9)
     suffix = F.greatest(F.ceil(t * F.col("x.n") - 1e-9), F.ceil(t * F.col("y.n") - 1e-9)) - 1
+    small = F.col("x.comp") < F.col("y.comp")
     return pairs.select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.greatest(F.lit(1), need - suffix).cast("int").alias("x")
+        F.when(small, F.col("x.id")).otherwise(F.col("y.id")).alias("a"), F.array(F.when(small, F.col("y.id")).otherwise(F.col("x.id"))).alias("bs"),
+        F.array(F.greatest(F.lit(1), need - suffix).cast("int")).alias("xs"),
     )
 
 
@@ -419,12 +429,15 @@ def near_groups(
     kinds = F.lit(0)
     for i, name in enumerate(names):
         kinds = F.when(F.col("record_set").eqNullSafe(F.lit(name)), i).otherwise(kinds)
-    grouped = sets.select("id", "set", kinds.cast("int").alias("kind")).join(found, F.col("id") == F.col("node"), "left").select(
+    sizes = found.groupBy("component").agg(F.floor(F.log2(F.count("*"))).cast("long").alias("size"))
+    sized = found.join(sizes, "component").select("node", (F.col("component") + F.shiftleft("size", SIZE_BIT)).alias("component"))
+    grouped = sets.select("id", "set", kinds.cast("int").alias("kind")).join(sized, F.col("id") == F.col("node"), "left").select(
         "kind", F.coalesce("component", "id").alias("comp"), "id", "set"
     )
     posted = _postings(grouped, sketch, threshold).repartition("key").sortWithinPartitions("key")
     collisions = work.write(_collisions(posted, threshold, key_rows), "collisions")
-    pairs = collisions.where("kind = 0").select("a", "b", "x").unionByName(_heavy_collisions(collisions.where("kind = 1"), threshold))
+    pairs = collisions.where("kind = 0").select("a", "bs", "xs").unionByName(_heavy_collisions(collisions.where("kind = 1"), threshold))
+    pairs = pairs.repartition("a").select("a", F.explode(F.arrays_zip("bs", "xs")).alias("p")).select("a", F.col("p.bs").alias("b"), F.col("p.xs").alias("x"))
     retained = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("x").alias("x")).where("k >= x").select("a", "b")
     verified = work.write(_verify(retained, sets, threshold), "verified")
     # the new links tie first groups together
