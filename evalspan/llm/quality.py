@@ -34,6 +34,7 @@ DIGIT = re.compile(r"\d")
 SYMBOL = re.compile(r"[^\w\s]|_")
 ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffd\u2580-\u259f]")
 STOP = re.compile(r"[.!?;\u3002\uff01\uff1f\uff1b]*(?:[.!?](?=[\s\"'\u201d)\]`]|$)|[\u3002\uff01\uff1f\uff1b]|(?<!\d);+)")
+TRAIL = re.compile(r"\s[\u00bb\u203a\u2192>]\s")
 CELL = re.compile(r"(?<!<)\|(?!>)|[\u2502\u2503\t]|</?t[dhr]\b|(?<=[^\s.!?:;,]) {2,}(?=\S)")
 TIGHT_COMMA = re.compile(r"(?<=[^\s])?,(?=[^\s])|,$")
 LONG = re.compile(r"[^\s\u2e80-\uffff]{48,}")
@@ -73,6 +74,7 @@ class Line:
     odd: int = 0
     stops: int = 0
     cells: int = 0
+    trails: int = 0
     commas: int = 0
     long: int = 0
 
@@ -123,6 +125,7 @@ def read_line(part: str, common: frozenset) -> Line:
     return Line(
         part[:HEAD], part[-TAIL:], sum(map(len, tokens)), len(words), sum(map(len, words)), known, cjk, digits, symbols, odd,
         len(STOP.findall(part)), len(CELL.findall(part)) if cells else 0,
+        len(TRAIL.findall(part)) if "\u00bb" in part or "\u203a" in part or "\u2192" in part or " > " in part else 0,
         len(TIGHT_COMMA.findall(part)) if "," in part else 0,
         sum(len(x) for x in LONG.findall(part)) if max(map(len, tokens)) >= 48 else 0,
     )
@@ -164,7 +167,7 @@ def kind_of(line: Line) -> str:
     if not sentence and line.cjk < 4:
         if BLOCK.match(head) and end.endswith(":") or (CODE.match(head) and line.common < 0.34 * max(units, 1)):
             return "code"
-    if BULLET.match(head):
+    if BULLET.match(head) or (line.trails >= 3 and units < 5 * line.trails):
         return "list"
     if line.commas >= 2 and units < (4 if line.cjk >= 4 else 6) * (line.commas + 1):
         return "table"
@@ -241,7 +244,9 @@ def shares(doc: Doc) -> dict:
     fragments = doc.text_parts >= 3 and average < 6  # a sentence has more words than an entry
     endless = average > (80 if doc.cjk > 0.2 * doc.chars else 40)
     repeated = len(doc.seen) <= FEW_WORDS and 4 * len(doc.seen) <= doc.words + doc.cjk
-    if fragments or endless or repeated:
+    # no sentence end and none of the words that every sentence has
+    wordy = doc.words >= 20 and not doc.ended and doc.common < 0.03 * doc.words and doc.cjk < 4
+    if fragments or endless or repeated or wordy:
         other = "list" if fragments else "junk"
         kinds[other], kinds["text"] = kinds[other] + kinds["text"], 0
     n = max(doc.chars, 1)
