@@ -55,12 +55,14 @@ def ship(spark: SparkSession) -> None:
 
 
 class Workspace:
-    """Tables of one query under the shared folder."""
+    """Tables of one query under the shared folder; its results may be read while the application lives."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/evalspan-{name}-{uuid.uuid4().hex}"
         self.written: dict[str, str] = {}
+        if self.root.startswith(("file:", "/")):  # elsewhere the folder's owner clears what ended applications left
+            atexit.register(shutil.rmtree, "/" + self.root.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as parquet and return the table read back; this cuts the lineage."""
