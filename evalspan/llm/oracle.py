@@ -8,7 +8,7 @@ _REPOSITORY = (
 )
 _R = r"(?:^|[./\s])([A-Za-z0-9_-]+?)(?:__|_1776_)([A-Za-z0-9_-]+)\.[0-9A-Fa-f]{7,40}(?:[^0-9A-Za-z]|$)"
 
-P1_FOUND = f"""
+_NAMED = f"""
 WITH RECURSIVE rows_ AS (
   SELECT row_id, regexp_replace(lower(split), '[^a-z]', '', 'g') AS s,
          {_REPOSITORY.format(c="instance_id", r=_R)} AS a, {_REPOSITORY.format(c="image_name", r=_R)} AS b
@@ -23,11 +23,20 @@ named AS (
   SELECT row_id, s, coalesce(g, a, b, 'row:' || row_id) AS g
   FROM rows_ LEFT JOIN groups_ ON node = coalesce(a, b)
 )
+"""
+
+P1_FOUND = f"""{_NAMED}
 SELECT row_id FROM named WHERE s IS NOT NULL AND g IN (
   SELECT g FROM named GROUP BY g
   HAVING count(*) FILTER (s = 'train') > 0 AND count(*) FILTER (s = 'heldout') > 0)
 """
 
+P1_SPLITS = f"""{_NAMED}, u AS (
+  SELECT row_id, g, ('0x' || sha256('splits-1' || chr(0) || g)[1:8])::BIGINT / 4294967296.0 AS u FROM named
+)
+SELECT row_id, g AS group_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'validation' ELSE 'test' END AS new_split FROM u
+"""
+
 
 _BARE = r"lower(regexp_replace(source, '[^\p{L}\p{N}]+', '', 'g'))"
 
@@ -59,4 +68,4 @@ P2_FOUND = f"SELECT instance_id, sample, replicate, first_step, last_step FROM (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_runs": _RUNS}
+    return {"p1_found": P1_FOUND, "p1_splits": P1_SPLITS, "p2_found": P2_FOUND, "p2_runs": _RUNS}

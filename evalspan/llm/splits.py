@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import seed_of, seeded_digest
 from ..runtime import Workspace, skew_safe_join
 from .components import connected_components
 
@@ -66,7 +67,7 @@ def assign_split(group: Column, proportions: Mapping[str, float] = PROPORTIONS,
     """The split whose range of the unit interval holds the group's hash; the proportions must add up to 1."""
     if abs(sum(proportions.values()) - 1) > 1e-9 or min(proportions.values()) < 0:
         raise ValueError("the proportions must be at least 0 and add up to 1")
-    u = F.pmod(F.xxhash64(F.lit(seed), group), F.lit(1_000_000)) / 1_000_000.0
+    u = seed_of(seeded_digest(seed, group)) / float(1 << 32)
     out, edge = F.lit(list(proportions)[-1]), 0.0
     conditions = []
     for name, share in proportions.items():
