@@ -36,7 +36,7 @@ _MASK = np.uint64((1 << BITS) - 1)
 #: Coordinates of the min-hash signature under which texts are posted in step 2, and leaders that a text is compared with.
 COORDINATES, LEADERS = 3, 8
 #: Counters of the frequency sketch, and parts in which it is added up.
-SKETCH, SLICES = 1 << 24, 32
+SKETCH, SLICES = 1 << 23, 32
 #: Rows under one key that one task pairs in memory; keys with more go through a join.
 KEY_ROWS = 20_000
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], "uint64")
@@ -217,7 +217,7 @@ def _leader_links(sorted_sets: DataFrame, coordinate: str, threshold: float) ->
 
 
 def frequency_sketch(sets: DataFrame) -> np.ndarray:
-    """Counts of shingles by hash in SKETCH counters, as 8-bit logarithms: 16 megabytes whatever the input."""
+    """Counts of shingles by hash in SKETCH counters, as 8-bit logarithms: eight megabytes whatever the input."""
     width = SKETCH // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +431,9 @@ def near_groups(
         kinds = F.when(F.col("record_set").eqNullSafe(F.lit(name)), i).otherwise(kinds)
     sizes = found.groupBy("component").agg(F.floor(F.log2(F.count("*"))).cast("long").alias("size"))
     sized = found.join(sizes, "component").select("node", (F.col("component") + F.shiftleft("size", SIZE_BIT)).alias("component"))
-    grouped = sets.select("id", "set", kinds.cast("int").alias("kind")).join(sized, F.col("id") == F.col("node"), "left").select(
+    grouped = sets.select("id", "set", kinds.cast("int").alias("kind")).join(
+        sized.hint("merge"), F.col("id") == F.col("node"), "left"  # the groups grow with the input: no broadcast
+    ).select(
         "kind", F.coalesce("component", "id").alias("comp"), "id", "set"
     )
     posted = _postings(grouped, sketch, threshold).repartition("key").sortWithinPartitions("key")
@@ -459,7 +461,7 @@ def near_groups(
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs whose sets have the similarity, compared exactly."""
-    known = sets.select("id", "set")
+    known = sets.select("id", "set").hint("merge")  # pairs grow with the input: no broadcast
     both = (
         pairs.join(known.withColumnRenamed("id", "a").withColumnRenamed("set", "sa"), "a")
         .join(known.withColumnRenamed("id", "b").withColumnRenamed("set", "sb"), "b")
