@@ -38,7 +38,7 @@ COORDINATES, LEADERS = 3, 8
 #: Counters of the frequency sketch, and parts in which it is added up.
 SKETCH, SLICES = 1 << 23, 32
 #: Rows under one key that one task pairs in memory; keys with more go through a join.
-KEY_ROWS = 20_000
+KEY_ROWS = 4_000
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], "uint64")
 
 
@@ -402,16 +402,22 @@ def near_groups(
 ) -> DataFrame:
     """``record_set, id, group`` of every distinct text with at least ``size`` words: the smallest id of its group.
 
-    ``df`` has ``record_set, id, text``; ids are unique within a set. Of equal texts only the smallest id appears.
+    ``df`` has ``record_set, id, text``; ids are unique within a set, at least 0 and below 2^53 over the number of sets
+    (else it fails), and there are 1,000 sets at most; rows without an id are left out. Of equal texts only the smallest id appears.
     Null texts and texts of fewer words are left out; an empty table gives an empty result. Groups are linked, directly
     or through others, by Jaccard similarities of word shingles of at least ``threshold``; no link is lost.
     """
     spark = work.spark
-    names = [r[0] for r in df.select("record_set").distinct().orderBy("record_set").limit(1000).collect()]
+    names = [r[0] for r in df.select("record_set").distinct().orderBy("record_set").limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1,000 record sets")
     code = F.lit(None).cast("long")
     for i, name in enumerate(names):  # an id of both sets and a small number for each set
         code = F.when(F.col("record_set").eqNullSafe(F.lit(name)), F.lit(i).cast("long")).otherwise(code)
-    coded = df.select("record_set", (F.col("id") * len(names) + code).alias("id"), "text") if names else df
+    fits = F.col("id").between(0, (1 << (SIZE_BIT - 1)) // max(1, len(names)))
+    safe = F.when(fits, F.col("id")).otherwise(F.raise_error(F.lit("an id is negative or too large")).cast("long"))
+    rows = df.where("id is not null")
+    coded = rows.select("record_set", (safe * len(names) + code).alias("id"), "text") if names else rows
     raw = shingle_sets(coded, size)
     # posted under the first coordinate; adaptive execution splits a hot value, which costs nothing but a later link
     posted = raw.hint("rebalance", "record_set", "c0").sortWithinPartitions("record_set", "c0", "n", "id")
