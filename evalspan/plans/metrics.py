@@ -41,7 +41,7 @@ def candidate_average_rank(spark: SparkSession, directory: str) -> DataFrame:
 def _spearman(score: str):
     def query(spark: SparkSession, directory: str) -> DataFrame:
         rows = success_rates(spark, directory).where("rate is not null")
-        return ranking.spearman(rows, ["task"], score, "level").select("task", "n", F.round("rho", 9).alias("rho"), "reason")
+        return ranking.spearman(rows, ["task"], score, "level").select("task", "n", (F.round("rho", 9) + 0.0).alias("rho"), "reason")
 
     return query
 
@@ -67,7 +67,7 @@ def matched_comparison(spark: SparkSession, directory: str) -> DataFrame:
         a = c.select("task", "scored", ranking.accuracy(F.col("correct"), F.col("tied"), F.col("scored")).alias(s))
         out = a if out is None else out.join(a.select("task", s), "task")
     return out.select("task", F.col("scored").alias("pairs"), F.round("p", 9).alias("p_accuracy"), F.round("q", 9).alias("q_accuracy"),
-                      F.round(F.col("q") - F.col("p"), 9).alias("difference"))
+                      (F.round(F.col("q") - F.col("p"), 9) + 0.0).alias("difference"))
 
 
 def same_p_unsolved(spark: SparkSession, directory: str) -> DataFrame:
@@ -156,7 +156,7 @@ _RHO = f"""{_RATES}, x AS (
 ), y AS (
   SELECT task, count(*) AS n, corr(rx, ry) AS rho, count(DISTINCT v) AS dv, count(DISTINCT level) AS dl FROM x GROUP BY task
 )
-SELECT task, n, CASE WHEN n >= 2 AND dv > 1 AND dl > 1 THEN round(rho, 9) END AS rho,
+SELECT task, n, CASE WHEN n >= 2 AND dv > 1 AND dl > 1 THEN round(rho, 9) + 0.0 END AS rho,
        CASE WHEN n < 2 THEN 'fewer_than_two_observations' WHEN dl = 1 THEN 'constant_y' WHEN dv = 1 THEN 'constant_x' END AS reason
 FROM y"""
 
@@ -190,7 +190,7 @@ FROM w""",
 g AS (SELECT a.task, count(*) AS n, avg(CASE WHEN a.p < b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) AS pa,
              avg(CASE WHEN a.q < b.q THEN 1.0 WHEN a.q = b.q THEN 0.5 ELSE 0 END) AS qa
       FROM m a JOIN m b ON a.task = b.task AND a.level < b.level GROUP BY a.task)
-SELECT t.task, coalesce(n, 0) AS pairs, round(pa, 9) AS p_accuracy, round(qa, 9) AS q_accuracy, round(qa - pa, 9) AS difference
+SELECT t.task, coalesce(n, 0) AS pairs, round(pa, 9) AS p_accuracy, round(qa, 9) AS q_accuracy, round(qa - pa, 9) + 0.0 AS difference
 FROM (SELECT DISTINCT task FROM m) t LEFT JOIN g ON g.task = t.task""",
     "m3_same_p_unsolved": f"""{_RATES}, m AS (SELECT * FROM r WHERE NOT solved AND p IS NOT NULL AND level IS NOT NULL),
 g AS (SELECT a.task, count(*) AS n, count(a.q + b.q) AS scored, count(*) FILTER (a.q < b.q) AS ok, count(*) FILTER (a.q = b.q) AS tied

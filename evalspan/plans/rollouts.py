@@ -62,7 +62,7 @@ def strict_means(spark: SparkSession, directory: str) -> DataFrame:
         F.count("p_t").alias("known"), F.avg("p_t").alias("mean"))
     strict = F.when(F.col("known") == views.REPLICATES, F.col("mean"))
     c = views.candidates(spark, directory).select("task", "sample", "p")
-    return c.join(s, ["task", "sample"]).select("task", "sample", F.round(strict, 9).alias("mean_p2"), F.round(strict - F.col("p"), 9).alias("gain"))
+    return c.join(s, ["task", "sample"]).select("task", "sample", F.round(strict, 9).alias("mean_p2"), (F.round(strict - F.col("p"), 9) + 0.0).alias("gain"))
 
 
 def first_changes(spark: SparkSession, directory: str) -> DataFrame:
@@ -83,13 +83,13 @@ def advantages(spark: SparkSession, directory: str) -> DataFrame:
     """Candidates' rewards, 1 if solved plus half of p, normalised within the task."""
     c = views.candidates(spark, directory).where("p is not null and solved is not null")
     c = c.withColumn("reward", fn.terminal_reward(F.col("solved"), F.col("p")))
-    return sequences.group_advantage(c, ["task"], "reward").select("task", "sample", F.round("reward", 9).alias("reward"), F.round("advantage", 7).alias("advantage"))
+    return sequences.group_advantage(c, ["task"], "reward").select("task", "sample", F.round("reward", 9).alias("reward"), (F.round("advantage", 7) + 0.0).alias("advantage"))
 
 
 def step_advantages(spark: SparkSession, directory: str) -> DataFrame:
     """p of each step normalised over the rollouts of the task at that step."""
     s = views.states(spark, directory)
-    return sequences.group_advantage(s, ["task", "step"], "p_t").select(*KEYS, "step", F.round("advantage", 7).alias("advantage"))
+    return sequences.group_advantage(s, ["task", "step"], "p_t").select(*KEYS, "step", (F.round("advantage", 7) + 0.0).alias("advantage"))
 
 
 def reward_variance(spark: SparkSession, directory: str) -> DataFrame:
@@ -103,7 +103,7 @@ def reward_variance(spark: SparkSession, directory: str) -> DataFrame:
 
 def step_returns(spark: SparkSession, directory: str) -> DataFrame:
     s = views.states(spark, directory).join(views.outcomes(spark, directory).select(*KEYS, F.col("solved").alias("end")), KEYS)
-    return sequences.step_returns(s, KEYS, "step", "p_t", "end", 0.5).select(*KEYS, "step", F.round("step_return", 9).alias("step_return"))
+    return sequences.step_returns(s, KEYS, "step", "p_t", "end", 0.5).select(*KEYS, "step", (F.round("step_return", 9) + 0.0).alias("step_return"))
 
 
 def rewards_to_go(spark: SparkSession, directory: str) -> DataFrame:
@@ -177,7 +177,7 @@ ORACLE = {
     "m9_hit_labels": f"{_HITS} SELECT task, sample, count(*) AS rollouts, count(hit) AS hits, round(count(hit) / count(*), 9) AS share FROM h GROUP BY ALL",
     "a15_future_hits": f"WITH {views.SQL} SELECT task, sample, replicate, coalesce(bool_or(solved), FALSE)::INT AS hit FROM s WHERE step >= 3 GROUP BY ALL",
     "a16_strict_means": f"""WITH {views.SQL}, g AS (SELECT task, sample, CASE WHEN count(p_t) = 4 THEN avg(p_t) END AS m FROM s WHERE step = 2 GROUP BY ALL)
-SELECT task, sample, round(m, 9) AS mean_p2, round(m - p, 9) AS gain FROM c JOIN g USING (task, sample)""",
+SELECT task, sample, round(m, 9) AS mean_p2, round(m - p, 9) + 0.0 AS gain FROM c JOIN g USING (task, sample)""",
     "w4_first_changes": f"""WITH {views.SQL}, k AS (
   SELECT *, first(p_t) OVER w AS f_p, first(generated_tokens) OVER w AS f_q FROM s {_W}),
 g AS (SELECT task, sample, replicate, {_CHANGE.format(v="p_t", n="p")} AS p_change, {_CHANGE.format(v="generated_tokens", n="q")} AS size_change FROM k GROUP BY ALL)
@@ -187,15 +187,15 @@ SELECT *, (size_change IS NOT NULL AND (p_change IS NULL OR size_change < p_chan
 SELECT task, sample, replicate, coalesce(bool_or(abs(p_t - pp) <= 1e-12 AND solved = ps AND abs(generated_tokens - pq) > 1e-12), FALSE)::INT AS silent FROM k GROUP BY ALL""",
     "w10_advantages": f"""WITH {views.SQL}, k AS (SELECT task, sample, solved::INT + 0.5 * p AS r FROM c WHERE p IS NOT NULL AND solved IS NOT NULL),
 m AS (SELECT *, avg(r) OVER (PARTITION BY task) AS a, stddev_pop(r) OVER (PARTITION BY task) AS d FROM k)
-SELECT task, sample, round(r, 9) AS reward, round(CASE WHEN d > 1e-6 THEN (r - a) / d ELSE 0.0 END, 7) AS advantage FROM m""",
+SELECT task, sample, round(r, 9) AS reward, round(CASE WHEN d > 1e-6 THEN (r - a) / d ELSE 0.0 END, 7) + 0.0 AS advantage FROM m""",
     "w11_step_advantages": f"""WITH {views.SQL}, m AS (SELECT *, avg(p_t) OVER w AS a, stddev_pop(p_t) OVER w AS d FROM s WINDOW w AS (PARTITION BY task, step))
-SELECT task, sample, replicate, step, round(CASE WHEN p_t IS NULL THEN NULL WHEN d > 1e-6 THEN (p_t - a) / d ELSE 0.0 END, 7) AS advantage FROM m""",
+SELECT task, sample, replicate, step, round(CASE WHEN p_t IS NULL THEN NULL WHEN d > 1e-6 THEN (p_t - a) / d ELSE 0.0 END, 7) + 0.0 AS advantage FROM m""",
     "a10_reward_variance": f"""WITH {views.SQL} SELECT task, round(var_pop(solved::INT), 9) AS terminal, round(var_pop(p), 9) AS test,
   (var_pop(solved::INT) <= 1e-12)::INT AS terminal_tied, (count(DISTINCT p) > 1)::INT AS informative FROM c GROUP BY task""",
     "w13_step_returns": f"""WITH {views.SQL}, k AS (SELECT s.*, o.solved AS y,
   last(p_t) OVER (PARTITION BY task, sample, replicate ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, lag(p_t) OVER w AS b
   FROM s JOIN o USING (task, sample, replicate) {_W})
-SELECT task, sample, replicate, step, round(y::INT + 0.5 * (l - b), 9) AS step_return FROM k""",
+SELECT task, sample, replicate, step, round(y::INT + 0.5 * (l - b), 9) + 0.0 AS step_return FROM k""",
     "w14_rewards_to_go": f"""WITH {views.SQL}, k AS (SELECT *, row_number() OVER w AS i FROM s {_W})
 SELECT a.task, a.sample, a.replicate, a.step, round(sum(coalesce(b.p_t, 0) * pow(0.9, b.i - a.i)), 8) AS to_go
 FROM k a JOIN k b ON a.task = b.task AND a.sample = b.sample AND a.replicate = b.replicate AND b.i >= a.i GROUP BY ALL""",
