@@ -28,6 +28,7 @@ HEAD, TAIL = 40, 64
 FEW_WORDS = 24
 
 WORD = re.compile(r"[^\W\d_]+(?:['\u2019][^\W\d_]+)*")
+ASCII_WORD = re.compile(r"[a-z]+(?:'[a-z]+)*")
 CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 TOKEN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W\d_]+")
 DIGIT = re.compile(r"\d")
@@ -108,15 +109,16 @@ def read_line(part: str, common: frozenset) -> Line:
     tokens = part.split()
     if not tokens:
         return Line(part[:HEAD], part[-TAIL:])
-    words = WORD.findall(part.lower())
     cjk = digits = symbols = odd = 0
     if part.isascii():
+        words = ASCII_WORD.findall(part.lower())
         raw = part.encode()
         digits = len(raw) - len(raw.translate(None, _DIGITS))
         symbols = len(raw) - len(raw.translate(None, _SIGNS))
         odd = len(raw) - len(raw.translate(None, _CONTROLS))
         known = sum(map(common.__contains__, words))
     else:
+        words = WORD.findall(part.lower())
         signs = CJK.findall(part)
         cjk = len(signs)
         digits, symbols, odd = len(DIGIT.findall(part)), len(SYMBOL.findall(part)), len(ODD.findall(part))
@@ -124,7 +126,8 @@ def read_line(part: str, common: frozenset) -> Line:
     cells = "|" in part or "\t" in part or "  " in part or "\u2502" in part or "\u2503" in part or "<t" in part or "</t" in part
     return Line(
         part[:HEAD], part[-TAIL:], sum(map(len, tokens)), len(words), sum(map(len, words)), known, cjk, digits, symbols, odd,
-        len(STOP.findall(part)), len(CELL.findall(part)) if cells else 0,
+        len(STOP.findall(part)) if not part.isascii() or "." in part or ";" in part or "!" in part or "?" in part else 0,
+        len(CELL.findall(part)) if cells else 0,
         len(TRAIL.findall(part)) if "\u00bb" in part or "\u203a" in part or "\u2192" in part or " > " in part else 0,
         len(TIGHT_COMMA.findall(part)) if "," in part else 0,
         sum(len(x) for x in LONG.findall(part)) if max(map(len, tokens)) >= 48 else 0,
@@ -182,8 +185,13 @@ def add_line(doc: Doc, line: Line) -> None:
         return
     doc.lines += 1
     doc.ended += bool(ENDED.search(line.tail.rstrip()))
-    for name in ("chars", "words", "letters", "common", "cjk", "digits", "symbols"):
-        setattr(doc, name, getattr(doc, name) + getattr(line, name))
+    doc.chars += line.chars
+    doc.words += line.words
+    doc.letters += line.letters
+    doc.common += line.common
+    doc.cjk += line.cjk
+    doc.digits += line.digits
+    doc.symbols += line.symbols
     kind = kind_of(line)
     doc.kind_chars[KINDS.index(kind)] += line.chars
     if kind == "text":
