@@ -309,6 +309,8 @@ def text_statistics(df: DataFrame, key: str, text: str, common_words: DataFrame,
     that are longer than a chunk are taken for one. Texts no longer than a chunk are finished where they are read;
     longer ones are spread over tasks by chunk and joined in a tree. Other columns are ignored.
     """
+    if key in STATS.names:
+        raise ValueError(f"a key named {key} would clash with a statistic")
     words = [r[0] for r in common_words.where("word is not null").select(F.lower("word")).distinct().limit(100_001).collect()]
     if len(words) > 100_000:
         raise ValueError("too many common words")

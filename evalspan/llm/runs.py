@@ -92,7 +92,8 @@ def collapse_runs(
     A run is a longest stretch of consecutive step numbers of which each is the same as or near the one before. A step
     recorded twice counts once (the fullest, then earliest record). Rows without a step have no place in the sequence
     and are left out; null keys form an entity of their own. An event without a time counts, but doesn't extend the
-    duration; ``seconds`` is null if no event of the run has a time. Other columns are ignored.
+    duration; ``seconds`` is null if no event of the run has a time. Other columns are ignored; keys mustn't have the
+    names of the result's columns or begin with an underscore.
     """
     rows = df.where(F.col(step).isNotNull()).select(
         *keys, step, *[c for c in dict.fromkeys([at, *tie]) if c not in keys and c != step],
@@ -105,19 +106,19 @@ def collapse_runs(
     marked = before.select(*keys, "_chunk", step, at, (~F.coalesce(joined, F.lit(False))).alias("_start"))
     chunks = marked.groupBy(*keys, "_chunk").agg(
         F.sort_array(F.collect_list(F.when(F.col("_start"), F.col(step)))).alias("_starts"),
-        F.collect_list(F.struct(F.col(step).alias("s"), F.col(at).alias("t"))).alias("_events"),
+        F.collect_list(F.struct(F.col(step).alias("_s"), F.col(at).alias("_t"))).alias("_events"),
     )
-    events = chunks.select(*keys, "_chunk", "_starts", F.explode("_events").alias("e")).select(
-        *keys, "_chunk", run_start_of(F.col("_starts"), F.col("e.s")).alias("_run"), "e.s", "e.t"
+    events = chunks.select(*keys, "_chunk", "_starts", F.explode("_events").alias("_e")).select(
+        *keys, "_chunk", run_start_of(F.col("_starts"), F.col("_e._s")).alias("_run"), "_e._s", "_e._t"
     )
     parts = events.groupBy(*keys, "_chunk", "_run").agg(
-        F.max("s").alias("last_step"), F.count("*").alias("steps"), F.min("t").alias("a"), F.max("t").alias("b")
+        F.max("_s").alias("_last"), F.count("*").alias("_steps"), F.min("_t").alias("_a"), F.max("_t").alias("_b")
     )
     parts = work.write(parts, "parts")
     # what continues a run of an earlier chunk takes the largest start before its chunk
-    heads = parts.groupBy(*keys, "_chunk").agg(F.max("_run").alias("_last"), F.bool_or(F.col("_run").isNull()).alias("_open"))
+    heads = parts.groupBy(*keys, "_chunk").agg(F.max("_run").alias("_newest"), F.bool_or(F.col("_run").isNull()).alias("_open"))
     before_chunk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = heads.withColumn("_carry", F.max("_last").over(before_chunk)).where("_open")
+    carried = heads.withColumn("_carry", F.max("_newest").over(before_chunk)).where("_open")
     c = carried.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_c"), "_carry")
     open_parts = parts.where("_run is null").join(
         c, [*[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_chunk") == F.col("_c")]
@@ -125,8 +126,8 @@ def collapse_runs(
     named = parts.where("_run is not null").unionByName(open_parts.withColumn("_run", F.col("_carry")).select(*parts.columns))
     return (
         named.groupBy(*keys, "_run")
-        .agg(F.max("last_step").alias("last_step"), F.sum("steps").alias("steps"), F.min("a").alias("started_at"), F.max("b").alias("_b"))
-        .withColumn("seconds", F.expr("timestampdiff(MICROSECOND, started_at, _b)") / 1e6)
+        .agg(F.max("_last").alias("last_step"), F.sum("_steps").alias("steps"), F.min("_a").alias("started_at"), F.max("_b").alias("_ended"))
+        .withColumn("seconds", F.expr("timestampdiff(MICROSECOND, started_at, _ended)") / 1e6)
         .withColumnRenamed("_run", "first_step")
         .select(*keys, "first_step", "last_step", "steps", "started_at", "seconds")
     )

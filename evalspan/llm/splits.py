@@ -33,34 +33,34 @@ def repository(value: Column) -> Column:
 
 
 def group_records(df: DataFrame, row_key: str, entities: Sequence[Column], work: Workspace) -> DataFrame:
-    """``df`` with ``group_id``: rows that share an entity, directly or through other rows, have the same.
+    """``df`` with ``group_id`` (which replaces a column of that name): rows that share an entity, directly or through other rows, have the same.
 
     A record's first entity that isn't null stands for it; the others tie that entity to further ones, so only records
     with two different entities become links. Records without any entity are groups of their own, named by their key.
     Null keys are allowed; a record without key and entity has the group ``row:``.
     """
-    named = df.withColumn("_entity", F.coalesce(*entities))
+    # the caller's columns travel in a struct, so that none can clash with those here
+    named = df.select(F.struct("*").alias("_row"), F.coalesce(*entities).alias("_entity"))
     ties = None
     for entity in entities[1:]:
         tie = df.select(F.coalesce(*entities).alias("a"), entity.alias("b")).where("a <> b").distinct()
         ties = tie if ties is None else ties.unionByName(tie)
     if ties is not None:
         groups = connected_components(ties, "a", "b", work, "groups")
-        stats = named.groupBy("_entity").agg(F.count("*").alias("_n"))
+        stats = named.groupBy("_entity").agg(F.count("*").alias("n"))
         stats = stats.join(groups.withColumnRenamed("node", "_entity"), "_entity")
         # entities with more than a ten-thousandth of the rows are at most ten thousand: they may be broadcast
         stats = work.write(stats, "entities")
-        floor = max(100_000, (stats.agg(F.sum("_n")).first()[0] or 0) // 10_000)
-        heavy = stats.where(F.col("_n") > floor).select("_entity", "component")
-        marked = named.join(F.broadcast(heavy.withColumnRenamed("component", "_hot")), "_entity", "left")
-        rest = stats.where(F.col("_n") <= floor).select("_entity", "component")
-        named = marked.join(rest, "_entity", "left").withColumn(
-            "component", F.coalesce("_hot", "component", "_entity")
-        ).drop("_hot")
+        floor = max(100_000, (stats.agg(F.sum("n")).first()[0] or 0) // 10_000)
+        heavy = stats.where(F.col("n") > floor).select("_entity", F.col("component").alias("hot"))
+        rest = stats.where(F.col("n") <= floor).select("_entity", "component")
+        named = named.join(F.broadcast(heavy), "_entity", "left").join(rest, "_entity", "left")
+        named = named.select("_row", F.coalesce("hot", "component", "_entity").alias("_group"))
     else:
-        named = named.withColumn("component", F.col("_entity"))
-    own = F.concat(F.lit("row:"), F.coalesce(F.col(row_key).cast("string"), F.lit("")))
-    return named.withColumn("group_id", F.coalesce("component", own)).drop("_entity", "component")
+        named = named.select("_row", F.col("_entity").alias("_group"))
+    own = F.concat(F.lit("row:"), F.coalesce(F.col(f"_row.{row_key}").cast("string"), F.lit("")))
+    kept = [F.col(f"_row.`{c}`") for c in df.columns if c != "group_id"]
+    return named.select(*kept, F.coalesce("_group", own).alias("group_id"))
 
 
 def assign_split(group: Column, proportions: Mapping[str, float] = PROPORTIONS, seed: str = SEED) -> Column:
@@ -86,14 +86,11 @@ def normal_split(value: Column) -> Column:
 
 def broken_groups(grouped: DataFrame, split: str, total: int) -> DataFrame:
     """Rows with a split that isn't null in a group that holds both frozen splits."""
-    rows = grouped.where(F.col(split).isNotNull()).withColumn("_split", normal_split(F.col(split)))
+    rows = grouped.where(F.col(split).isNotNull()).select(F.struct("*").alias("_row"), "group_id", normal_split(F.col(split)).alias("s"))
     both = (
-        rows.groupBy("group_id")
-        .agg(F.min("_split").alias("_a"), F.max("_split").alias("_b"), F.count("*").alias("_n"))
-        .where("_a <> _b")
-        .select("group_id", "_n")
+        rows.groupBy("group_id").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.count("*").alias("n")).where("a <> b").select("group_id", "n")
     )
     heavy = None
     if total > 100_000:
-        heavy = both.where(F.col("_n") > max(100_000, total // 1000)).drop("_n")
-    return skew_safe_join(rows, both.drop("_n"), "group_id", heavy).drop("_split")
+        heavy = both.where(F.col("n") > max(100_000, total // 1000)).drop("n")
+    return skew_safe_join(rows.drop("s"), both.drop("n"), "group_id", heavy).select("_row.*")

@@ -142,12 +142,12 @@ def find_truncated(
     name = F.coalesce(F.lower(F.trim(source)), F.lit("\u0000none"))
     rows = (
         df.where(F.col(text).isNotNull() & (F.trim(text) != ""))
-        .select(F.col(key), name.alias("source"), F.col(text).alias("_t"), F.col(tokens).cast("long").alias("tokens"))
+        .select(F.col(key).alias("_key"), name.alias("source"), F.col(text).alias("_t"), F.col(tokens).cast("long").alias("tokens"))
         .select(
-            key, "source", "tokens", F.length("_t").cast("long").alias("chars"),
+            "_key", "source", "tokens", F.length("_t").cast("long").alias("chars"),
             F.octet_length("_t").cast("long").alias("bytes"), end_states("_t").alias("e"),
         )
-        .select(key, "source", "tokens", "chars", "bytes", "e.*")
+        .select("_key", "source", "tokens", "chars", "bytes", "e.*")
         .withColumn("ratio", F.col("tokens") / F.col("chars"))
     )
     rows = work.write(rows, "ends")
@@ -183,7 +183,7 @@ def find_truncated(
         .when(F.col("inner") & (F.col("closing") >= 0.5), "inner statement")
         .when(F.col("suspect") & ~F.col("known"), "cut word at a limit")
     )
-    return judged.select(key, F.when(F.col("source") != "\u0000none", F.col("source")).alias("source"), reason.alias("reason"))
+    return judged.select(F.col("_key").alias(key), F.when(F.col("source") != "\u0000none", F.col("source")).alias("source"), reason.alias("reason"))
 
 
 def truncation_rates(found: DataFrame) -> DataFrame:

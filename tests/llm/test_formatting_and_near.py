@@ -15,7 +15,9 @@ OTHER = [A.replace("x, b=b", "b=b, x"), A.replace("1", "2"), A.replace("return",
 
 
 def groups(spark, work, rows):
-    df = spark.createDataFrame(rows, "sha string, source string").withColumn("group", F.lit("x")).drop("group").withColumn("form", F.lit(1))
+    df = spark.createDataFrame(rows, "sha string, source string")
+    for name in ("group", "form", "key", "f1", "class"):
+        df = df.withColumn(name, F.lit(1))
     return {r["key"]: r["group"] for r in formatting.group_formatted(df, "sha", "source", work).collect()}
 
 

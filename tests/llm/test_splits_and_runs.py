@@ -58,7 +58,9 @@ ROWS = [
 
 
 def grouped(spark, work, rows=ROWS):
-    df = spark.createDataFrame(rows, "row_id long, instance_id string, image_name string, split string").withColumn("component", F.lit(1)).drop("component")
+    df = spark.createDataFrame(rows, "row_id long, instance_id string, image_name string, split string")
+    for name in ("component", "_entity", "_row", "group_id", "n", "hot", "a"):  # columns that clash with those inside
+        df = df.withColumn(name, F.lit(1))
     entities = [splits.repository(F.col("instance_id")), splits.repository(F.col("image_name"))]
     return splits.group_records(df, "row_id", entities, work)
 
@@ -81,9 +83,11 @@ def test_assigned_shares_and_stability(spark):
 
 
 def collapse(spark, work, data, chunk=4):
-    df = spark.createDataFrame(data, "k string, step int, text string, sha string, at timestamp, id long").withColumn("_extra", F.lit(1))
-    out = runs.collapse_runs(df, ["k"], "step", "text", "sha", "at", ["id"], work, chunk=chunk)
-    return sorted((r["k"] or "", r["first_step"], r["last_step"], r["steps"], r["seconds"]) for r in out.collect())
+    df = spark.createDataFrame(data, "a string, step int, text string, sha string, at timestamp, id long")
+    for name in ("_extra", "_chunk", "_run", "steps", "seconds"):
+        df = df.withColumn(name, F.lit(1))
+    out = runs.collapse_runs(df, ["a"], "step", "text", "sha", "at", ["id"], work, chunk=chunk)
+    return sorted((r["a"] or "", r["first_step"], r["last_step"], r["steps"], r["seconds"]) for r in out.collect())
 
 
 def event(k, step, text, sha="", n=0):

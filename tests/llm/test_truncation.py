@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from evalspan.llm import truncation
 
 
@@ -26,6 +28,8 @@ def test_whole_and_cut_rows(spark, work):
     cut = [(300, "m", "x = f(1,\n   ", 9), (301, "M ", "x = 1\ny = 2", 9), (302, None, "```\nreturn 1", 9), (303, "m", "# This change does\n", None)]
     other = [(400, "m", None, 5), (401, "m", "", 5), (402, "m", "  ", 5), (403, "m", "return " + "x" * 50000, 9)]
     df = spark.createDataFrame(whole + sentences + limit + cut + other, "id long, model string, text string, tokens int")
+    for name in ("source", "kind", "chars", "_t", "reason"):
+        df = df.withColumn(name, F.lit(1))
     out = truncation.find_truncated(df, "id", "text", "model", "tokens", work)
     got = {r["id"]: (r["source"], r["reason"]) for r in out.collect()}
     assert {i for i, (_, reason) in got.items() if reason} == {200, 201, 202, 203, 204, 300, 301, 302, 303} - {i for i in got if not got[i][1]}
