@@ -74,6 +74,20 @@ def test_manifest_finds_changes(spark):
     assert writers.check_manifest(m, {"t": changed}) == ["t"] and writers.check_manifest(m, {}) == ["t"]
 
 
+def test_file_digests(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    (r,) = writers.file_digests(spark, f"{tmp_path}/*.bin").collect()
+    assert (r["length"], r["sha256"]) == (3, hashlib.sha256(b"abc").hexdigest())
+
+
+def test_reports_in_a_column(spark):
+    df = spark.createDataFrame([("<s><testcase name='a'/><testcase><failure/></testcase></s>",), (None,)], "x string")
+    got = [r["r"] for r in df.select(readers.report_counts(F.col("x")).alias("r")).collect()]
+    assert got[0]["collected"] == 2 and got[0]["failures"] == 1
+
+
 def test_config(tmp_path):
     p = tmp_path / "c.json"
     p.write_text('{"tasks": 6}')
