@@ -39,6 +39,8 @@ COORDINATES, LEADERS = 3, 8
 SKETCH, SLICES = 1 << 23, 32
 #: Rows under one key that one task pairs in memory; keys with more go through a join.
 KEY_ROWS = 4_000
+#: Characters whose shingles are made together.
+PART_CHARS = 4_000_000
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], "uint64")
 
 
@@ -48,33 +50,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sets of shingle hashes; word hashes are remembered up to a number."""
+class WordHashes(dict):
+    """Hashes of words in lower case, remembered up to a number."""
 
-    def __init__(self, size: int):
-        self.size, self.words = size, {}
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.lower())
+        return h
 
-    def __call__(self, text: str) -> np.ndarray:
-        """Sorted distinct hashes of the runs of ``size`` successive words; empty for shorter texts."""
+
+def shingle_arrays(texts: list[str], size: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the runs of ``size`` successive words of all texts, one after the other, and how many
+    each text has: none for texts of fewer words."""
+    flat: list[int] = []
+    lengths = np.empty(len(texts), "int64")
+    for k, text in enumerate(texts):
         found = WORD.findall(text)
-        if len(found) < self.size:
-            return np.empty(0, "uint64")
-        known = self.words
-        try:
-            ids = [known[w] for w in found]
-        except KeyError:
-            if len(known) > 500_000:
-                known.clear()
-            for w in found:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w.lower())
-            ids = [known[w] for w in found]
-        h = np.array(ids, "uint64")
-        n = len(h) - self.size + 1
-        out = np.zeros(n, "uint64")
-        for k in range(self.size):
-            out = _mix(out * _P[0] + h[k : k + n])
-        return np.unique(out & _MASK)
+        lengths[k] = len(found)
+        flat.extend(map(hashes.__getitem__, found))
+    h = np.array(flat, "uint64")
+    n = max(0, len(h) - size + 1)
+    out = np.zeros(n, "uint64")
+    for k in range(size):
+        out = _mix(out * _P[0] + h[k : k + n])
+    of = np.repeat(np.arange(len(texts)), lengths)
+    within = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    whole = (within <= np.repeat(lengths, lengths) - size)[:n]
+    keyed = of[:n][whole].astype("uint64") << np.uint64(BITS) | (out[whole] & _MASK)
+    keyed.sort()
+    keyed = keyed[np.r_[True, keyed[1:] != keyed[:-1]]] if len(keyed) else keyed
+    return keyed & _MASK, np.bincount((keyed >> np.uint64(BITS)).astype("int64"), minlength=len(texts))
 
 
 def pack_set(values: np.ndarray) -> bytes:
@@ -150,22 +156,36 @@ def shingle_sets(df: DataFrame, size: int) -> DataFrame:
     seeds = _P[1 : 1 + COORDINATES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingler(size), {}
-        for batch in batches:
+        hashes, seen = WordHashes(), {}
+
+        def sets_of(part):
+            values, counts = shingle_arrays([text for _, _, text in part], size, hashes)
+            data, ends = pack_set(values), np.cumsum(counts)
+            full = np.nonzero(counts)[0]
+            if not len(full):
+                return
+            starts = (ends - counts)[full]
+            coords = [np.minimum.reduceat(_mix(values * s), starts) >> np.uint64(1) for s in seeds]
             rows = []
-            for record_set, key, text in zip(*(batch.column(c).to_pylist() for c in ("record_set", "id", "text"))):
-                values = shingles(text)
-                if not len(values):
-                    continue
-                data, t = pack_set(values), xxhash.xxh3_128_intdigest(text)
+            for at, k in enumerate(full):
+                record_set, key, text = part[k]
+                own, t = data[BITS // 8 * (ends[k] - counts[k]) : BITS // 8 * ends[k]], xxhash.xxh3_128_intdigest(text)
                 if len(seen) > 200_000:
                     seen.clear()
-                root = seen.setdefault((record_set, xxhash.xxh3_128_digest(data)), key)
-                coords = [int(_mix(values * s).min() >> np.uint64(1)) for s in seeds]
-                t1, t2 = (t & ((1 << 63) - 1)), t >> 65
-                rows.append((record_set, key, root, t1, t2, len(values), *coords, data if root == key else None))
-            if rows:
-                yield _batch(_SET_SCHEMA, list(zip(*rows)))
+                root = seen.setdefault((record_set, xxhash.xxh3_128_digest(own)), key)
+                rows.append((record_set, key, root, t & ((1 << 63) - 1), t >> 65, int(counts[k]), *(int(c[at]) for c in coords), own if root == key else None))
+            yield _batch(_SET_SCHEMA, list(zip(*rows)))
+
+        for batch in batches:
+            part, chars = [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in ("record_set", "id", "text"))):
+                part.append(row)
+                chars += len(row[2])
+                if chars > PART_CHARS:  # bounds the arrays, whatever the lengths of the texts
+                    yield from sets_of(part)
+                    part, chars = [], 0
+            if part:
+                yield from sets_of(part)
 
     return df.where("text is not null").select("record_set", "id", "text").mapInArrow(run, _SET_SCHEMA)
 
