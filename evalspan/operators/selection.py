@@ -34,7 +34,7 @@ def anchors_first(df: DataFrame, group: str, key: str, seed: str, n: int, least_
     Only the first ``n`` in order are kept on the way, so the last numbering has ``n`` rows. Raises if there are fewer
     than ``least_groups`` groups.
     """
-    if df.select(group).distinct().limit(least_groups).count() < least_groups:
+    if least_groups and df.select(group).distinct().limit(least_groups).count() < least_groups:
         raise ValueError(f"fewer than {least_groups} groups")
     hashed = hash_order(df.select(group, key), seed, key)
     first = hashed.groupBy(group).agg(F.min(F.struct("digest", key)).alias("f")).select(F.col(group).alias("_g"), F.col("f.digest").alias("_d"))

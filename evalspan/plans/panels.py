@@ -35,7 +35,7 @@ def viable_groups(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def anchors_first(spark: SparkSession, directory: str) -> DataFrame:
-    out = selection.anchors_first(_tasks(spark, directory).drop("digest"), "repo", "task", SEED, 28)
+    out = selection.anchors_first(_tasks(spark, directory).drop("digest"), "repo", "task", SEED, 28, least_groups=0)
     return out.select("repo", "task", F.col("anchor").cast("int").alias("anchor"), "place")
 
 

@@ -37,8 +37,7 @@ def object_files(spark: SparkSession, directory: str) -> DataFrame:
     owners = views.tasks(spark, directory).groupBy(F.substring(F.col("task"), 1, 1).alias("letter")).agg(F.count("*").alias("tasks"))
     rows = owners.select("letter", F.to_json(F.struct("letter", "tasks")).alias("value"))
     rows.repartition("letter").write.partitionBy("letter").text(root)
-    got = spark.read.schema("letter string, tasks long").json(f"{root}/*/*.txt")
-    return got.select("letter", "tasks")
+    return readers.read_jsonl(spark, f"{root}/*/*.txt", "letter string, tasks long")[0]
 
 
 def csv_round_trip(spark: SparkSession, directory: str) -> DataFrame:
