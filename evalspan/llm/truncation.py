@@ -1,10 +1,11 @@
 """Texts that were cut before their end.
 
 A stack automaton reads each whole text and keeps open code fences, strings and brackets; its state at the end, the
-kind of the last line and broken characters tell how the text ends. What counts as a whole end is measured per source:
-whether its texts usually end in a closing statement, which unfinished-looking endings are common to many texts, and
-at which length in characters, bytes or tokens its values pile up. A text is cut if its end is open, or if it sits at
-such a limit (or was far longer in generated tokens) and its last word can't be whole.
+kind of the last line and broken characters tell how the text ends. What counts as a whole end is measured per source,
+copies of a text counting once: whether the texts whose end isn't in doubt usually end in a closing statement, which
+unfinished-looking endings are common to many texts, and at which length in characters, bytes or tokens the texts pile
+up. A text is cut if its end is open, if it sits at such a limit in mid-code, or if it sits there (or was far longer in
+generated tokens) and its last word can't be whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ STATEMENT = re.compile(
 STRUCTURE = re.compile(r"\\.|\"\"\"|'''|[\"'()\[\]{}#\n]")
 CLOSES = {")": "(", "]": "[", "}": "{"}
 SENTENCE_END = re.compile(r"[.!?:;\u3002\uff01\uff1f)\"'`*\]]$")
-#: A share of a source's rows at one length that counts as a limit of that source.
+#: A share of a source's texts at one length that counts as a limit of that source.
 PILE_SHARE = 0.01
 #: A share of the unfinished-looking last sentences from which an ending counts as usual.
 ENDING_SHARE = 0.05
@@ -119,10 +120,10 @@ def end_states(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([end_state(t) if t and t.strip() else (None,) * len(columns) for t in texts], columns=columns)
 
 
-def _limits(rows: DataFrame, size: str) -> DataFrame:
-    """Per source the size at which its values pile up, if any: at least ``PILE_SHARE`` of its rows (two at least),
-    and more than five times as many as lie above."""
-    counts = rows.where(F.col(size).isNotNull()).groupBy("source", size).agg(F.count("*").alias("n"))
+def _limits(texts: DataFrame, size: str) -> DataFrame:
+    """Per source the size at which its texts pile up, if any: at least ``PILE_SHARE`` of them (two at least), and more
+    than five times as many as lie above. Copies of one text are no pile."""
+    counts = texts.where(F.col(size).isNotNull()).groupBy("source", size).agg(F.count("*").alias("n"))
     every = Window.partitionBy("source")
     above = every.orderBy(F.col(size).desc()).rowsBetween(Window.unboundedPreceding, -1)
     piles = counts.select(
@@ -131,6 +132,17 @@ def _limits(rows: DataFrame, size: str) -> DataFrame:
     return piles.groupBy("source").agg(F.max(size).alias(f"{size}_limit"))
 
 
+def _suspects(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """``rows`` with ``limited`` (at a limit of their source) and ``suspect`` (also if far longer in generated tokens)."""
+    limited = (
+        F.coalesce(F.col("chars") >= F.col("chars_limit"), F.lit(False))
+        | F.coalesce(F.col("bytes").between(F.col("bytes_limit") - 3, F.col("bytes_limit")), F.lit(False))
+        | F.coalesce(F.col("tokens") >= F.col("tokens_limit"), F.lit(False))
+    )
+    longer = F.coalesce(F.col("ratio") > 1.05 * F.col("ratio95"), F.lit(False))
+    return rows.join(base, "source", "left").withColumn("limited", limited).withColumn("suspect", F.col("limited") | longer)
+
+
 def find_truncated(
     df: DataFrame, key: str, text: str, source: str, tokens: str, work: Workspace
 ) -> DataFrame:
@@ -145,33 +157,35 @@ def find_truncated(
         .select(F.col(key).alias("_key"), name.alias("source"), F.col(text).alias("_t"), F.col(tokens).cast("long").alias("tokens"))
         .select(
             "_key", "source", "tokens", F.length("_t").cast("long").alias("chars"),
-            F.octet_length("_t").cast("long").alias("bytes"), end_states("_t").alias("e"),
+            F.octet_length("_t").cast("long").alias("bytes"), F.md5("_t").alias("text_id"), end_states("_t").alias("e"),
         )
-        .select("_key", "source", "tokens", "chars", "bytes", "e.*")
+        .select("_key", "source", "tokens", "chars", "bytes", "text_id", "e.*")
         .withColumn("ratio", F.col("tokens") / F.col("chars"))
     )
     rows = work.write(rows, "ends")
-    base = rows.groupBy("source").agg(
-        F.avg(F.col("kind").isin("terminal", "fence", "sentence").cast("double")).alias("closing"),
-        F.percentile_approx("ratio", 0.95, 1000).alias("ratio95"),
-    )
+    # one row per text of a source, or more where its copies differ in tokens
+    texts = work.write(rows.drop("_key").dropDuplicates(["source", "text_id", "tokens"]), "texts")
+    base = texts.groupBy("source").agg(F.percentile_approx("ratio", 0.95, 1000).alias("ratio95"))
     for size in ("chars", "bytes", "tokens"):
-        base = base.join(_limits(rows, size), "source", "left")
+        sized = texts if size == "tokens" else texts.dropDuplicates(["source", "text_id"])
+        base = base.join(_limits(sized, size), "source", "left")
+    open_end = F.col("marker") | F.col("broken") | F.col("fence") | F.col("quote") | (F.col("depth") > 0)
+    ends = _suspects(texts, base).groupBy("source", "text_id").agg(
+        F.first("kind").alias("kind"), F.bool_or(F.col("suspect") | open_end).alias("doubtful")
+    )
+    closing = ends.where("not doubtful").groupBy("source").agg(
+        F.avg(F.col("kind").isin("terminal", "fence", "sentence").cast("double")).alias("closing")
+    )
     loose = rows.where("kind = 'sentence' and not terminated and not marker")
     endings = loose.groupBy("ending").agg(F.count("*").alias("n"))
     # an ending with at least a twentieth of the rows: twenty at most
     usual = endings.where(F.col("n") >= max(2, ENDING_SHARE * loose.count()))
     judged = (
-        rows.join(base, "source", "left")
+        _suspects(rows, base)
+        .join(closing, "source", "left")
         .join(F.broadcast(usual.select("ending", F.lit(True).alias("usual"))), "ending", "left")
-        .withColumn(
-            "suspect",
-            F.coalesce(F.col("chars") >= F.col("chars_limit"), F.lit(False))
-            | F.coalesce(F.col("bytes").between(F.col("bytes_limit") - 3, F.col("bytes_limit")), F.lit(False))
-            | F.coalesce(F.col("tokens") >= F.col("tokens_limit"), F.lit(False))
-            | F.coalesce(F.col("ratio") > 1.05 * F.col("ratio95"), F.lit(False)),
-        )
     )
+    unusual = (F.col("closing") >= 0.5) | F.col("limited")
     reason = (
         F.when(F.col("marker"), "marker")
         .when(F.col("broken"), "broken character or escape")
@@ -179,8 +193,8 @@ def find_truncated(
         .when(F.col("quote"), "open quote")
         .when(F.col("depth") > 0, "open bracket")
         .when((F.col("kind") == "sentence") & ~F.col("terminated") & F.col("usual").isNull(), "open sentence")
-        .when((F.col("kind") == "other") & (F.col("closing") >= 0.5), "no closing statement")
-        .when(F.col("inner") & (F.col("closing") >= 0.5), "inner statement")
+        .when((F.col("kind") == "other") & unusual, "no closing statement")
+        .when(F.col("inner") & unusual, "inner statement")
         .when(F.col("suspect") & ~F.col("known"), "cut word at a limit")
     )
     return judged.select(F.col("_key").alias(key), F.when(F.col("source") != "\u0000none", F.col("source")).alias("source"), reason.alias("reason"))

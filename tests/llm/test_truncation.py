@@ -39,6 +39,34 @@ def test_whole_and_cut_rows(spark, work):
     assert rates["m"] >= 3 and rates[None] == 1
 
 
+def reasons(spark, work, rows):
+    df = spark.createDataFrame(rows, "id long, model string, text string, tokens int")
+    return {r["id"]: r["reason"] for r in truncation.find_truncated(df, "id", "text", "model", "tokens", work).collect()}
+
+
+def test_mid_code_is_cut_in_a_source_that_mostly_cuts(spark, work):
+    rows = []
+    for m in ("copies", "limit", "all", "open"):
+        rows += [(len(rows) + i, m, f"x{i} = f({i})\nreturn x{'0' * i}{i}", None) for i in range(0 if m == "all" else 20)]
+        if m == "copies":
+            cut = [f"{m} = 1\ny = z"] * 30
+        elif m == "open":  # most are cut behind an open bracket, a few in mid-code
+            cut = [f"x = f({i}, (" for i in range(30)] + [f"y{i} = 1\ny = z" for i in range(10)]
+        else:
+            cut = [f"n{i:03} = 1\n" + "y = 1\n" * 10 + "y = z" for i in range(30)]
+        rows += [(len(rows) + i, m, t, None) for i, t in enumerate(cut)]
+    got = reasons(spark, work, rows)
+    assert all((got[i] is None) == ("return" in t) for i, _, t, _ in rows)
+    inner = [(i, "inner", f"n{i:03} = 1\n" + "if a:\n    return n", None) for i in range(10)]
+    assert set(reasons(spark, work, inner).values()) == {"inner statement"}
+
+
+def test_a_source_of_another_style_stays_whole(spark, work):
+    rows = [(i, "style", f"x = {i}\n" + "run(x)\n" * (i % 9 + 1) + "stop" * i, None) for i in range(40)]
+    rows += [(100 + i, *rows[-1][1:]) for i in range(5)]  # copies of the longest text are no limit
+    assert set(reasons(spark, work, rows).values()) == {None}
+
+
 def test_empty_table(spark, work):
     df = spark.createDataFrame([], "id long, model string, text string, tokens int")
     assert truncation.find_truncated(df, "id", "text", "model", "tokens", work).count() == 0
