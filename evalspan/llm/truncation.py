@@ -34,8 +34,9 @@ CLOSES = {")": "(", "]": "[", "}": "{"}
 SENTENCE_END = re.compile(r"[.!?:;\u3002\uff01\uff1f)\"'`*\]]$")
 #: A share of a source's texts at one length that counts as a limit of that source.
 PILE_SHARE = 0.01
-#: A share of the unfinished-looking last sentences from which an ending counts as usual.
-ENDING_SHARE = 0.05
+#: A share of a source's unfinished-looking last sentences from which an ending counts as usual, and the number of texts
+#: at which these weigh as much as those of the other sources: two texts alone (2 of 42) are below the share.
+ENDING_SHARE, ENDING_WEIGHT = 0.05, 40
 
 END_SCHEMA = T.StructType(
     [T.StructField("kind", T.StringType())]
@@ -143,6 +144,26 @@ def _suspects(rows: DataFrame, base: DataFrame) -> DataFrame:
     return rows.join(base, "source", "left").withColumn("limited", limited).withColumn("suspect", F.col("limited") | longer)
 
 
+def _usual_endings(loose: DataFrame) -> DataFrame:
+    """``source, ending`` of the usual endings among texts with an unfinished-looking last sentence.
+
+    An ending's share is measured over the different texts of its source. A source with few of them borrows up to
+    ``ENDING_WEIGHT`` texts from the other sources, as far as there are any, with the ending's share there: so an ending
+    needs the same evidence at every size, be it three texts of its own or many of others.
+    """
+    texts = loose.select("source", "text_id", "ending").distinct()
+    own = texts.groupBy("source", "ending").agg(F.count("*").alias("n"))
+    sizes = texts.groupBy("source").agg(F.count("*").alias("of"))
+    # a text in several sources counts once, and as the source's own where it is one of them
+    every = texts.groupBy("ending").agg(F.count_distinct("text_id").alias("all_n"))
+    total = texts.agg(F.count_distinct("text_id").alias("all_of"))
+    others = F.col("all_of") - F.col("of")
+    borrowed = F.when(others > 0, F.least(others, F.lit(ENDING_WEIGHT)) * (F.col("all_n") - F.col("n")) / others).otherwise(0)
+    counted = own.join(sizes, "source").join(every, "ending").join(F.broadcast(total), F.lit(True))  # the total is one row
+    usual = counted.where(F.col("n") + borrowed >= ENDING_SHARE * (F.col("of") + ENDING_WEIGHT))
+    return usual.select("source", "ending", F.lit(True).alias("usual"))
+
+
 def find_truncated(
     df: DataFrame, key: str, text: str, source: str, tokens: str, work: Workspace
 ) -> DataFrame:
@@ -176,14 +197,11 @@ def find_truncated(
     closing = ends.where("not doubtful").groupBy("source").agg(
         F.avg(F.col("kind").isin("terminal", "fence", "sentence").cast("double")).alias("closing")
     )
-    loose = rows.where("kind = 'sentence' and not terminated and not marker")
-    endings = loose.groupBy("ending").agg(F.count("*").alias("n"))
-    # an ending with at least a twentieth of the rows: twenty at most
-    usual = endings.where(F.col("n") >= max(2, ENDING_SHARE * loose.count()))
+    usual = _usual_endings(texts.where("kind = 'sentence' and not terminated and not marker"))
     judged = (
         _suspects(rows, base)
         .join(closing, "source", "left")
-        .join(F.broadcast(usual.select("ending", F.lit(True).alias("usual"))), "ending", "left")
+        .join(usual, ["source", "ending"], "left")
     )
     unusual = (F.col("closing") >= 0.5) | F.col("limited")
     reason = (

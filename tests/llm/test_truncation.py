@@ -67,6 +67,21 @@ def test_a_source_of_another_style_stays_whole(spark, work):
     assert set(reasons(spark, work, rows).values()) == {None}
 
 
+def test_usual_endings_are_counted_per_source_over_texts(spark, work):
+    note = "x = {0}\nreturn x\n\n# Note that {1}"
+    cut = [(i, "m", note.format(1, "this change of the"), None) for i in range(20)]  # copies
+    cut += [(20 + i, m, note.format(2, "one or two"), None) for i, m in enumerate(("m", "a", "b", "c"))]
+    cut += [(30 + i, "m", note.format(i, f"word{i} is another"), None) for i in range(2)]  # two texts cut alike
+    whole = [(100 + i, "small", note.format(i, "the list is new"), None) for i in range(6)]
+    whole += [(200 + i, "m", note.format(i, "it may be empty"), None) for i in range(12)]
+    whole += [(300, "single", note.format(99, "it may be empty"), None)]  # usual elsewhere
+    for size in (0, 300):  # the same rows are judged alike beside many others
+        more = [(1000 + i, "large", note.format(i, "no row may be empty"), None) for i in range(size)]
+        got = reasons(spark, work, cut + whole + more)
+        assert {got[r[0]] for r in cut} == {"open sentence"}
+        assert {got[r[0]] for r in whole + more} == {None}
+
+
 def test_empty_table(spark, work):
     df = spark.createDataFrame([], "id long, model string, text string, tokens int")
     assert truncation.find_truncated(df, "id", "text", "model", "tokens", work).count() == 0
