@@ -19,11 +19,14 @@ from pyspark.sql import types as T
 ALPHA = 10.0
 
 
-def leave_one_group_out(df: DataFrame, group: str, features: Sequence[str], target: str, alpha: float = ALPHA) -> DataFrame:
+def leave_one_group_out(
+    df: DataFrame, group: str, features: Sequence[str], target: str, alpha: float = ALPHA, source: Sequence[str] = ()
+) -> DataFrame:
     """``group, intercept, coefficients`` of a ridge on standardised features (population deviation) per left-out group.
 
     Rows with a null feature or target are left out. A feature without deviation has coefficient 0. A fold whose
-    training target is constant, or without training rows, is skipped.
+    training target is constant, or without training rows, is skipped. With ``source``, rows of other groups that share
+    all these columns with a row of the left-out group aren't trained on either; a null there is no shared source.
     """
     d = len(features)
     rows = df.where(" and ".join(f"`{c}` is not null" for c in [*features, target, group]))
@@ -31,8 +34,18 @@ def leave_one_group_out(df: DataFrame, group: str, features: Sequence[str], targ
     sums = [F.count("*").alias("n")] + [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)]
     sums += [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(d + 1) for j in range(i, d + 1)]
     names = ["n", *[f"s{i}" for i in range(d + 1)], *[f"p{i}_{j}" for i in range(d + 1) for j in range(i, d + 1)]]
-    per = rows.groupBy(group).agg(*sums)
-    total = per.agg(*[F.sum(c).alias(f"t_{c}") for c in names])
+    if source:
+        cells = rows.groupBy(group, *[F.col(c).alias(f"_source{i}") for i, c in enumerate(source)]).agg(*sums)
+        keys = [f"_source{i}" for i in range(len(source))]
+        known = " and ".join(f"{k} is not null" for k in keys)
+        shared = cells.where(known).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
+        held = cells.where(known).select(group, *keys).join(shared, keys).select(group, *names)
+        held = held.unionByName(cells.where(f"not ({known})").select(group, *names))
+        per = held.groupBy(group).agg(*[F.sum(c).alias(c) for c in names])
+        total = cells.agg(*[F.sum(c).alias(f"t_{c}") for c in names])
+    else:
+        per = rows.groupBy(group).agg(*sums)
+        total = per.agg(*[F.sum(c).alias(f"t_{c}") for c in names])
     both = per.join(F.broadcast(total), F.lit(True))  # the total is one row
     schema = T.StructType([df.schema[group], T.StructField("intercept", T.DoubleType()), T.StructField("coefficients", T.ArrayType(T.DoubleType()))])
 
@@ -60,3 +73,13 @@ def leave_one_group_out(df: DataFrame, group: str, features: Sequence[str], targ
             yield pd.DataFrame(out, columns=schema.names)
 
     return both.mapInPandas(solve, schema)
+
+
+def held_out_predictions(df: DataFrame, folds: DataFrame, group: str, features: Sequence[str]) -> DataFrame:
+    """``df`` with ``prediction`` of its own fold, the left-out group's; null for a skipped fold or a null feature."""
+    f = folds.select(F.col(group).alias("_fold"), F.col("intercept").alias("_intercept"), F.col("coefficients").alias("_w"))
+    value = F.col("_intercept")
+    for i, c in enumerate(features):
+        value = value + F.get("_w", F.lit(i)) * F.col(c)
+    joined = df.join(f, F.col(group) == F.col("_fold"), "left")
+    return joined.withColumn("prediction", value).drop("_fold", "_intercept", "_w")

@@ -141,6 +141,29 @@ def test_ridge_equals_a_direct_solution(spark):
         assert np.allclose(got[k]["coefficients"], w, atol=1e-8) and np.isclose(got[k]["intercept"], y[t].mean() - w @ m)
 
 
+def test_ridge_leaves_out_shared_sources_too(spark):
+    rng = np.random.default_rng(2)
+    x, g = rng.normal(size=(90, 2)), rng.integers(0, 5, 90)
+    task, sha = rng.integers(0, 2, 90), rng.integers(0, 20, 90)
+    y = x[:, 0] - x[:, 1] + sha * 0.3
+    rows = [(int(g[i]), int(task[i]), f"s{sha[i]}" if sha[i] else None, *map(float, x[i]), float(y[i])) for i in range(90)]
+    df = spark.createDataFrame(rows, "g int, task int, sha string, a double, b double, y double")
+    folds = regression.leave_one_group_out(df, "g", ["a", "b"], "y", source=["task", "sha"])
+    got = {r["g"]: r for r in folds.collect()}
+    scores = {}
+    for k in range(5):
+        held = {r[1:3] for r in rows if r[0] == k and r[2]}
+        t = np.array([r[0] != k and r[1:3] not in held for r in rows])
+        assert t.sum() < (g != k).sum()
+        m, s = x[t].mean(0), x[t].std(0)
+        z = (x[t] - m) / s
+        w = np.linalg.solve(z.T @ z + 10 * np.eye(2), z.T @ (y[t] - y[t].mean())) / s
+        assert np.allclose(got[k]["coefficients"], w, atol=1e-8)
+        scores[k] = lambda v, w=w, c=y[t].mean() - w @ m: v @ w + c
+    for r in regression.held_out_predictions(df, folds, "g", ["a", "b"]).collect():
+        assert np.isclose(r["prediction"], scores[r["g"]](np.array([r["a"], r["b"]])))
+
+
 def test_stream_of_complete_blocks(spark, tmp_path):
     schema = "task string, sample int, replicate int, step int"
     src = f"{tmp_path}/in"
