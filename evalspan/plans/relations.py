@@ -20,10 +20,10 @@ def profile_fallback(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def checked_inner(spark: SparkSession, directory: str) -> DataFrame:
-    """Outcomes with their rollout's last step; every rollout with states must be found."""
+    """Outcomes with their rollout's last step; raises if an outcome has no states. Rollouts without outcome aren't
+    asked for here: ``j13_pending`` and ``j5_one_to_one`` show them."""
     last = views.states(spark, directory).groupBy(*KEYS).agg(F.max("step").alias("last_step"))
-    have = last.join(views.outcomes(spark, directory).select(*KEYS, "p8"), KEYS, "left_semi")
-    return joins.checked_inner(have, views.outcomes(spark, directory).select(*KEYS, "p8"), KEYS).select(*KEYS, "last_step", "p8")
+    return joins.checked_inner(views.outcomes(spark, directory).select(*KEYS, "p8"), last, KEYS).select(*KEYS, "last_step", "p8")
 
 
 def one_to_one(spark: SparkSession, directory: str) -> DataFrame:

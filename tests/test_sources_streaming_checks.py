@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evalspan.config import RunConfig
 from evalspan.operators import checks, joins, regression
+from evalspan.plans import relations
 from evalspan.sources import readers, writers
 from evalspan.streaming import journal
 
@@ -197,3 +198,15 @@ def test_stream_progress_and_windows(spark, tmp_path):
 def test_pending(spark):
     a = spark.createDataFrame([("x",), ("y",)], "k string")
     assert [r["k"] for r in journal.pending(a, a.limit(1), ["k"]).collect()] == ["y"]
+
+
+def test_an_outcome_without_states_raises(spark, monkeypatch):
+    keys = "task string, sample int, replicate int"
+    states = spark.createDataFrame([("a", 0, 0, 2), ("a", 0, 0, 3), ("a", 0, 1, 2)], f"{keys}, step int")
+    outcomes = spark.createDataFrame([("a", 0, 0, 0.5), ("b", 0, 0, 0.5)], f"{keys}, p8 double")
+    monkeypatch.setattr(relations.views, "states", lambda *_: states)
+    monkeypatch.setattr(relations.views, "outcomes", lambda *_: outcomes.where("task = 'a'"))
+    assert [tuple(r) for r in relations.checked_inner(spark, "").collect()] == [("a", 0, 0, 3, 0.5)]
+    monkeypatch.setattr(relations.views, "outcomes", lambda *_: outcomes)
+    with pytest.raises(ValueError, match="without a partner"):
+        relations.checked_inner(spark, "")
