@@ -22,8 +22,9 @@ from ..runtime import Workspace
 
 #: Characters in a chunk, and chunks joined at one node of the tree.
 CHUNK, FAN = 16_384, 32
-#: Characters kept of a line's beginning, and of a word cut by a chunk's end.
+#: Characters kept of a line's beginning (with and without its indent), and of a word cut by a chunk's end.
 HEAD, TAIL = 40, 64
+INDENT = "\ufeff \t\u00a0"
 #: Different words remembered per text, to tell endless repetition.
 FEW_WORDS = 24
 
@@ -78,6 +79,7 @@ class Line:
     trails: int = 0
     commas: int = 0
     long: int = 0
+    start: str = ""
 
 
 @dataclass
@@ -108,7 +110,7 @@ def read_line(part: str, common: frozenset) -> Line:
     """The counts of a line or of a part of one."""
     tokens = part.split()
     if not tokens:
-        return Line(part[:HEAD], part[-TAIL:])
+        return Line(part[:HEAD], part[-TAIL:], start=part.lstrip(INDENT)[:HEAD])
     cjk = digits = symbols = odd = 0
     if part.isascii():
         words = ASCII_WORD.findall(part.lower())
@@ -131,6 +133,7 @@ def read_line(part: str, common: frozenset) -> Line:
         len(TRAIL.findall(part)) if "\u00bb" in part or "\u203a" in part or "\u2192" in part or " > " in part else 0,
         len(TIGHT_COMMA.findall(part)) if "," in part else 0,
         sum(len(x) for x in LONG.findall(part)) if max(map(len, tokens)) >= 48 else 0,
+        part.lstrip(INDENT)[:HEAD],
     )
 
 
@@ -145,14 +148,15 @@ def join_lines(a: Line, b: Line, common: frozenset) -> Line:
     both, one, two = read_line(x + y, common), read_line(x, common), read_line(y, common)
     sums = {
         f.name: getattr(a, f.name) + getattr(b, f.name) + getattr(both, f.name) - getattr(one, f.name) - getattr(two, f.name)
-        for f in fields(Line) if f.name not in ("head", "tail")
+        for f in fields(Line) if f.name not in ("head", "tail", "start")
     }
-    return Line((a.head + b.head)[:HEAD] if len(a.head) < HEAD else a.head, (a.tail + b.tail)[-TAIL:], **sums)
+    start = (a.start + b.head)[:HEAD] if a.start else b.start
+    return Line((a.head + b.head)[:HEAD] if len(a.head) < HEAD else a.head, (a.tail + b.tail)[-TAIL:], start=start, **sums)
 
 
 def kind_of(line: Line) -> str:
     """The kind of a whole line from its counts and its beginning."""
-    head = line.head.lstrip("\ufeff \t\u00a0")
+    head = line.start
     while head.startswith(">"):
         head = head[1:].lstrip()
     units = line.words + 0.6 * line.cjk
@@ -165,7 +169,7 @@ def kind_of(line: Line) -> str:
         return "table"
     end = line.tail.rstrip()
     sentence = units >= 8 and line.stops >= 1 and end[-1:] in ".!?" and line.common >= 0.1 * units
-    if len(line.head) == HEAD:
+    if len(line.start) == HEAD:
         head += "\u2026"  # there is more
     if not sentence and line.cjk < 4:
         if BLOCK.match(head) and end.endswith(":") or (CODE.match(head) and line.common < 0.34 * max(units, 1)):

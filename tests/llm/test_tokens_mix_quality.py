@@ -131,6 +131,15 @@ OTHER = [
 ]
 
 
+def test_the_indent_does_not_hide_a_lines_kind():
+    for line, kind in (("2024-01-02 10:11:12 started", "log"), ("- a small point", "list"), ("result_of_the_long_name_value = start_value", "code")):
+        for indent in ("", " " * 12, " " * 45, "\u00a0" * 50):
+            assert quality.kind_of(quality.read_line(indent + line, frozenset())) == kind
+            for cut in (10, len(indent), len(indent) + 3):  # the indent may lie in another chunk
+                a, b = (quality.read_line(x, frozenset()) for x in ((indent + line)[:cut], (indent + line)[cut:]))
+                assert quality.kind_of(quality.join_lines(a, b, frozenset())) == kind
+
+
 def test_statistics_of_a_table(spark, work):
     rows = [(1, PROSE * 3), (2, PROSE * 40), (3, None), (4, ""), (5, " \n "), (6, "x"), (7, PROSE * 3 + "\n- one\n- two\n"), (8, "\n".join(["- item"] * 2000))]
     rows += [(10 + i, t) for i, t in enumerate(OTHER)]
