@@ -1,23 +1,26 @@
 """Near-duplicates with small edits: groups of texts whose word shingles overlap by a threshold or more.
 
-1. Each text becomes the set of its shingles (40-bit hashes) and a signature of min-hash coordinates. Exact copies in
-   one task keep one set.
-2. Texts are posted under each coordinate-value pair; among those that collide, every text is compared exactly with a
-   few leaders. This finds most links at a cost linear in the number of texts, and gives first groups.
-3. What is left is found without loss by an inverted join of the whole signature, the shingles themselves in order of
-   rising frequency: two texts over the threshold share a shingle in their prefixes. Collisions are counted for pairs
-   of different groups only (members of the largest group under a key are skipped against each other), and a pair is
-   retained if its count plus what its suffixes could still share reaches the overlap it needs. Those are compared
-   exactly.
+1. Each text becomes the set of its shingles (40-bit hashes). Equal sets keep one row. Its signature has ``COORDINATES``
+   min-hash values: two sets agree in one with a chance that equals their similarity.
+2. Stars: texts are posted under the first coordinate-value pairs. Under each pair a text collides with the list's first
+   text and with the one before it, so a list of any length costs its length. Collisions are counted per pair of texts;
+   those with ``HITS`` or more are compared exactly, and their links give first groups.
+3. Counted join: texts are posted under their coordinate-value pairs but for the most frequent ones (prefix), in an
+   order by a frequency sketch. Lists whose texts are of one group are skipped, and so are members of a group against
+   each other (skip merging). Collisions are counted, and pairs of different groups with ``HITS`` or more are retained:
+   a pair over the threshold agrees in ``match_threshold`` coordinates, of which the skipped ones can hide all but
+   ``HITS``. Those are compared exactly.
 4. Connected components of all links are the groups.
 
-A frequency sketch of fixed size orders the shingles; any order is lossless, a good one only makes it fast.
+A link is lost only if its two signatures agree in fewer coordinates than the match threshold, which is set so that
+the chance is ``LOSS`` at most for a pair right at the similarity, and far less above it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +36,16 @@ WORD = re.compile(r"[A-Za-z0-9_]+")
 #: Bits of a shingle's hash. Two different shingles of two texts agree by chance once in 10^8 pairs of texts.
 BITS = 40
 _MASK = np.uint64((1 << BITS) - 1)
-#: Coordinates of the min-hash signature under which texts are posted in step 2, and leaders that a text is compared with.
-COORDINATES, LEADERS = 3, 8
-#: Counters of the frequency sketch, and parts in which it is added up.
-SKETCH, SLICES = 1 << 23, 32
+#: Coordinates of the min-hash signature, those of step 2, and collisions from which a pair is compared.
+COORDINATES, STARS, HITS = 96, 16, 2
+#: The chance at most that two sets right at the threshold agree in fewer coordinates than the match threshold.
+LOSS = 1e-8
+#: Counters of the frequency sketch for each coordinate: one for LOAD texts, within bounds (12 MB in all at most).
+COUNTERS, LOAD = (1 << 14, 1 << 17), 32
 #: Rows under one key that one task pairs in memory; keys with more go through a join.
 KEY_ROWS = 4_000
+#: Values of sets whose signatures are made together.
+PART_VALUES = 1_000_000
 #: Characters whose shingles are made together.
 PART_CHARS = 4_000_000
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], "uint64")
@@ -108,15 +115,15 @@ def needed(na: int, nb: int, threshold: float) -> int:
     return int(np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9))
 
 
-def collisions_needed(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
-    """The least number of collisions of two prefixes if the sets have the similarity.
-
-    The set whose prefix ends first in the order of all shingles has no further one in common before its suffix, so no
-    more than the longer suffix can follow.
-    """
-    need = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
-    suffix = np.maximum(np.ceil(threshold * na - 1e-9), np.ceil(threshold * nb - 1e-9)) - 1
-    return np.maximum(1, need - suffix).astype("int32")
+def match_threshold(threshold: float, coordinates: int = COORDINATES, loss: float = LOSS) -> int:
+    """The number of agreeing coordinates that two sets of the similarity miss with a chance of ``loss`` at most."""
+    below, m = 0.0, 0
+    while m < coordinates:
+        below += comb(coordinates, m) * threshold**m * (1 - threshold) ** (coordinates - m)
+        if below > loss:
+            break
+        m += 1
+    return m
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -128,20 +135,44 @@ _SET_SCHEMA = T.StructType(
     [
         T.StructField("record_set", T.StringType()), T.StructField("id", T.LongType()), T.StructField("root", T.LongType()),
         T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), T.StructField("n", T.IntegerType()),
-        *(T.StructField(f"c{k}", T.LongType()) for k in range(COORDINATES)), T.StructField("set", T.BinaryType()),
+        T.StructField("c0", T.LongType()), T.StructField("set", T.BinaryType()),
     ]
 )
 _LINK_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
+_STAR_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "id")] + [T.StructField("n", T.IntegerType())])
+_POSTING_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "comp", "id")] + [T.StructField("n", T.IntegerType())])
 _COLLISION_SCHEMA = T.StructType(
-    [
-        T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("a", T.LongType()),
-        T.StructField("n", T.IntegerType()), T.StructField("bs", T.ArrayType(T.LongType())), T.StructField("xs", T.ArrayType(T.IntegerType())),
-    ]
+    [T.StructField("kind", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ("key", "a", "b")] + [T.StructField("n", T.IntegerType())]
 )
 #: A component's number carries the logarithm of its size in the bits from here on, so that larger ones are larger.
 SIZE_BIT = 54
 
 
+#: Odd multipliers, one for each coordinate: a set's least product is its value there.
+_FACTORS = _mix(np.arange(1, 129, dtype="uint64") * _P[0]) | np.uint64(1)
+
+
+def signatures(values: np.ndarray, starts: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    """The coordinates of sets that lie one after the other in ``values``: an array of coordinates by sets."""
+    high = values << np.uint64(64 - BITS)
+    return np.stack([np.minimum.reduceat(high * s, starts) for s in _FACTORS[:coordinates]]) >> np.uint64(64 - BITS)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches of a batch of sets with about PART_VALUES values each: rows, values, starts and sizes."""
+    data = batch.column("set").to_pylist()
+    sizes = np.array([len(d) for d in data], "int64") // (BITS // 8)
+    part = np.cumsum(sizes) // PART_VALUES
+    edges = np.r_[0, np.nonzero(part[1:] != part[:-1])[0] + 1, len(data)] if len(data) else [0]
+    for s, e in zip(edges[:-1], edges[1:]):
+        n = sizes[s:e]
+        yield slice(s, e), unpack_set(b"".join(data[s:e])), np.cumsum(n) - n, n
+
+
+def _keys(kind: np.ndarray, coordinates: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return kind.astype("int64") << np.int64(BITS + 7) | coordinates.astype("int64") << np.int64(BITS) | values.astype("int64")
+
+
 def _batch(schema: T.StructType, columns: list) -> pa.RecordBatch:
     kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     arrays = [pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(columns, schema.fields)]
@@ -153,8 +184,6 @@ def shingle_sets(df: DataFrame, size: int) -> DataFrame:
 
     ``root`` is the id of the row that carries the set: of equal sets within one task only the first does.
     """
-    seeds = _P[1 : 1 + COORDINATES]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), {}
 
@@ -165,7 +194,7 @@ def shingle_sets(df: DataFrame, size: int) -> DataFrame:
             if not len(full):
                 return
             starts = (ends - counts)[full]
-            coords = [np.minimum.reduceat(_mix(values * s), starts) >> np.uint64(1) for s in seeds]
+            first = signatures(values, starts, 1)[0]
             rows = []
             for at, k in enumerate(full):
                 record_set, key, text = part[k]
@@ -173,7 +202,7 @@ def shingle_sets(df: DataFrame, size: int) -> DataFrame:
                 if len(seen) > 200_000:
                     seen.clear()
                 root = seen.setdefault((record_set, xxhash.xxh3_128_digest(own)), key)
-                rows.append((record_set, key, root, t & ((1 << 63) - 1), t >> 65, int(counts[k]), *(int(c[at]) for c in coords), own if root == key else None))
+                rows.append((record_set, key, root, t & ((1 << 63) - 1), t >> 65, int(counts[k]), int(first[at]), own if root == key else None))
             yield _batch(_SET_SCHEMA, list(zip(*rows)))
 
         for batch in batches:
@@ -211,89 +240,97 @@ def _merge_copies(posted: DataFrame) -> DataFrame:
     return posted.mapInArrow(run, _SET_SCHEMA)
 
 
-def _leader_links(sorted_sets: DataFrame, coordinate: str, threshold: float) -> DataFrame:
-    """Links of each text with the first leader that it resembles, among the last few under its coordinate."""
+def _star_postings(sets: DataFrame) -> DataFrame:
+    """Each set under its first coordinate-value pairs, as ``key, id, n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaders = None, []
         for batch in batches:
-            a, b = [], []
-            for record_set, value, key, data in zip(*(batch.column(c).to_pylist() for c in ("record_set", coordinate, "id", "set"))):
-                if (record_set, value) != at:
-                    at, leaders = (record_set, value), []
-                values = unpack_set(data)
-                for k, (leader, other) in enumerate(leaders):
-                    if similar(values, other, threshold):
-                        a.append(key)
-                        b.append(leader)
-                        leaders.insert(0, leaders.pop(k))
-                        break
-                else:
-                    leaders.insert(0, (key, values))
-                    del leaders[LEADERS:]
-            yield _batch(_LINK_SCHEMA, [a, b])
-
-    return sorted_sets.select("record_set", coordinate, "id", "set").mapInArrow(run, _LINK_SCHEMA)
-
-
-def frequency_sketch(sets: DataFrame) -> np.ndarray:
-    """Counts of shingles by hash in SKETCH counters, as 8-bit logarithms: eight megabytes whatever the input."""
-    width = SKETCH // SLICES
+            kind, ids = (batch.column(c).to_numpy() for c in ("kind", "id"))
+            for rows, values, starts, n in _parts(batch):
+                s = signatures(values, starts, STARS)
+                keys = _keys(kind[rows], np.arange(STARS)[:, None], s).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(ids[rows], STARS)), pa.array(np.tile(n.astype("int32"), STARS))], _STAR_SCHEMA.names)
+
+    return sets.select("kind", "id", "set").mapInArrow(run, _STAR_SCHEMA)
+
+
+def _star_collisions(sorted_postings: DataFrame, threshold: float) -> DataFrame:
+    """Collisions of each text with the first one under its key and with the one before it, where the sizes allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = last = None  # key, id and size of the list's first text and of the last one read
+        for batch in batches:
+            key, ids, n = (batch.column(c).to_numpy() for c in ("key", "id", "n"))
+            if not len(key):
+                continue
+            if head is not None:
+                key, ids, n = (np.r_[[h, x], y] for h, x, y in zip(head, last, (key, ids, n)))
+            fresh = np.r_[True, key[1:] != key[:-1]]
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+            at = np.arange(len(key))
+            old = 2 if head is not None else 0
+            one = np.nonzero(~fresh & (at >= old))[0]
+            two = one[first[one] < one - 1]
+            a, b = np.r_[one, two], np.r_[first[one], two - 1]
+            ok = (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9) & (ids[a] != ids[b])
+            head, last = ((key[k], ids[k], n[k]) for k in (first[-1], len(key) - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]].astype("int64")), pa.array(ids[b[ok]].astype("int64"))], _LINK_SCHEMA.names)
+
+    return sorted_postings.mapInArrow(run, _LINK_SCHEMA)
+
+
+def frequency_sketch(sets: DataFrame, width: int) -> np.ndarray:
+    """Counts of the values of each coordinate in ``width`` counters, as 8-bit logarithms (8 steps to a doubling)."""
+    schema = "coordinate int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, "u1")  # of one task, full at 255
+        total = np.zeros((COORDINATES, width), "int32")
         for batch in batches:
-            for data in batch.column("set").to_pylist():
-                at = (unpack_set(data) & np.uint64(SKETCH - 1)).astype("int64")
-                total[at] += total[at] < 255
-        schema = T.StructType([T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType())])
-        parts = total.reshape(SLICES, width)
-        yield _batch(schema, [list(range(SLICES)), [p.tobytes() for p in parts]])
+            for _, values, starts, _ in _parts(batch):
+                for k, s in enumerate(signatures(values, starts)):
+                    total[k] += np.bincount((s & np.uint64(width - 1)).astype("int64"), minlength=width).astype("int32")
+        yield pa.RecordBatch.from_arrays([pa.array(range(COORDINATES), pa.int32()), pa.array([t.tobytes() for t in total])], ["coordinate", "counts"])
 
     def add(f):
         total = np.zeros(width, "int64")
         for data in f["counts"]:
-            total += np.frombuffer(data, "u1")
-        level = np.minimum(255, np.round(8 * np.log2(total + 1.0))).astype("u1")
-        return f.iloc[:1].assign(counts=[level.tobytes()])[["slice", "counts"]]
+            total += np.frombuffer(data, "int32")
+        return f.iloc[:1].assign(counts=[level_of(total).astype("u1").tobytes()])[["coordinate", "counts"]]
 
-    sliced = sets.select("set").mapInArrow(count, "slice int, counts binary")
-    rows = sliced.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
-    out = np.zeros((SLICES, width), "u1")
+    rows = sets.select("set").mapInArrow(count, schema).groupBy("coordinate").applyInPandas(add, schema).collect()
+    out = np.zeros((COORDINATES, width), "u1")
     for r in rows:
-        out[r["slice"]] = np.frombuffer(r["counts"], "u1")
-    return out.ravel()
+        out[r["coordinate"]] = np.frombuffer(r["counts"], "u1")
+    return out
 
 
-def _postings(grouped: DataFrame, sketch, threshold: float) -> DataFrame:
-    """Each set's prefix in order of rising frequency, as ``key, comp, id, n, pos``."""
-    schema = T.StructType(
-        [T.StructField(c, T.LongType()) for c in ("key", "comp", "id")]
-        + [T.StructField(c, T.IntegerType()) for c in ("n", "pos")]
-    )
+def level_of(count):
+    return np.minimum(255, np.floor(8 * np.log2(np.asarray(count) + 1.0)))
+
+
+def _postings(grouped: DataFrame, sketch, width: int, skip: int, hot_level: int, hot: bool) -> DataFrame:
+    """Each set under its coordinate-value pairs but for the ``skip`` most frequent ones, as ``key, comp, id, n``: those
+    whose counter is at ``hot_level`` or above, or the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.frombuffer(sketch.value, "u1")
+        levels = np.frombuffer(sketch.value, "u1").reshape(COORDINATES, width)
+        every = np.arange(COORDINATES)[:, None]
         for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
-            for kind, comp, key, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "comp", "id", "set"))):
-                values = unpack_set(data)
-                n = len(values)
-                level = levels[(values & np.uint64(SKETCH - 1)).astype("int64")]
-                order = np.argsort(level, kind="stable")
-                prefix = order[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
-                pos = np.nonzero(level[prefix] > 8)[0]  # a counter of 1 means no other text has the shingle
-                columns[0].append(values[prefix[pos]].astype("int64") | np.int64(kind << BITS))
-                columns[1].append(np.full(len(pos), comp, "int64"))
-                columns[2].append(np.full(len(pos), key, "int64"))
-                columns[3].append(np.full(len(pos), n, "int32"))
-                columns[4].append(pos.astype("int32"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], schema.names)
-
-    return grouped.mapInArrow(run, schema)
-
-
-def _pairs_under_key(comp, ids, n, pos, threshold: float):
+            kind, comp, ids = (batch.column(c).to_numpy() for c in ("kind", "comp", "id"))
+            for rows, values, starts, n in _parts(batch):
+                s = signatures(values, starts)
+                level = levels[every, (s & np.uint64(width - 1)).astype("int64")]
+                # one order of all pairs, by level and then by coordinate: what two texts share is skipped alike
+                prefix = np.argsort(level, axis=0, kind="stable")[: COORDINATES - skip]
+                k, doc = np.nonzero((np.take_along_axis(level, prefix, 0) >= hot_level) == hot)
+                at = prefix[k, doc]
+                columns = (_keys(kind[rows][doc], at, s[at, doc]), comp[rows][doc], ids[rows][doc], n[doc].astype("int32"))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _POSTING_SCHEMA.names)
+
+    return grouped.mapInArrow(run, _POSTING_SCHEMA)
+
+
+def _pairs_under_key(comp, n, threshold: float):
     """Pairs of different groups under one key, with at least one side outside the largest group."""
     values, counts = np.unique(comp, return_counts=True)
     major = values[np.argmax(counts)]
@@ -308,126 +345,110 @@ def _pairs_under_key(comp, ids, n, pos, threshold: float):
 
 
 def _collisions(postings: DataFrame, threshold: float, key_rows: int) -> DataFrame:
-    """Collisions of texts of different groups (kind 0): the text ``a`` of the smaller group, its partners ``bs`` and the
-    numbers ``xs`` of collisions that the pairs need; and the rows of keys too large for one task (kind 1), with group,
-    position and size in ``bs``, ``xs`` and ``n``."""
+    """Collisions of texts of different groups (kind 0), the text of the smaller group in ``a``, counted in ``n`` within a
+    batch; and the rows of keys too large for one task (kind 1), with group and size in ``b`` and ``n``."""
+
+    def emit(kind, key, a, b, n):
+        arrays = (np.full(len(a), kind, "int32"), key, a.astype("int64"), b.astype("int64"), n.astype("int32"))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], _COLLISION_SCHEMA.names)
+
+    def passed_on(key, comp, ids, n):
+        return emit(1, key, ids, comp, n)
+
+    def pairs(key, comp, ids, n):
+        """All keys of the arrays, which hold whole keys, vectorised for the many small ones."""
+        starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+        ends = np.r_[starts[1:], len(key)]
+        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        two = mixed & (ends - starts == 2)
+        one, other = [starts[two]], [starts[two] + 1]
+        for s, e in zip(starts[mixed & ~two], ends[mixed & ~two]):
+            i, j = _pairs_under_key(comp[s:e], n[s:e], threshold)
+            one.append(i + s)
+            other.append(j + s)
+        i, j = np.concatenate(one).astype("int64"), np.concatenate(other).astype("int64")
+        near = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
+        i, j = i[near], j[near]
+        swap = comp[i] > comp[j]
+        a, b = ids[np.where(swap, j, i)], ids[np.where(swap, i, j)]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        at = np.nonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[0] if len(a) else np.empty(0, "int64")
+        return emit(0, np.zeros(len(at), "int64"), a[at], b[at], np.diff(np.r_[at, len(a)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        rows, passing = 0, None
-
-        def emit(kind, key, a, b, x, n, starts):
-            ends = pa.array(np.r_[starts, len(b)].astype("int32"))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (b.astype("int64"), x.astype("int32"))]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(a), kind, "int32")), pa.array(key), pa.array(a.astype("int64")), pa.array(n.astype("int32")), *lists],
-                _COLLISION_SCHEMA.names,
-            )
-
-        def passed_on(key, comp, ids, n, pos):
-            return emit(1, key, ids, comp, pos, n, np.arange(len(ids)))
-
-        def pairs(key, comp, ids, n, pos):
-            """All keys of the arrays, which hold whole keys, vectorised for the many small ones."""
-            starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
-            ends = np.r_[starts[1:], len(key)]
-            low, high = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
-            one, two = [], []
-            for s, e in zip(starts[low != high], ends[low != high]):
-                if e - s == 2:
-                    one.append([s])
-                    two.append([s + 1])
-                    continue
-                i, j = _pairs_under_key(comp[s:e], ids[s:e], n[s:e], pos[s:e], threshold)
-                one.append(i + s)
-                two.append(j + s)
-            if not one:
-                return None
-            i, j = np.concatenate(one).astype("int64"), np.concatenate(two).astype("int64")
-            near = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
-            # before, at and after this collision: what the two sets could share at most
-            most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - 1 - pos[i], n[j] - 1 - pos[j])
-            near &= most >= threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9
-            i, j = i[near], j[near]
-            swap = comp[i] > comp[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            order = np.argsort(ids[i], kind="stable")
-            i, j = i[order], j[order]
-            at = np.nonzero(np.r_[True, ids[i][1:] != ids[i][:-1]])[0] if len(i) else np.empty(0, "int64")
-            none = np.zeros(len(at), "int64")
-            return emit(0, none, ids[i][at], ids[j], collisions_needed(n[i], n[j], threshold), none, at)
-
-        def arrays(batch):
-            return [batch.column(c).to_numpy() for c in ("key", "comp", "id", "n", "pos")]
-
+        held: list = []
+        passing = None
         for batch in batches:
-            cols = arrays(batch)
-            if not len(cols[0]):
-                continue
-            if passing is not None:  # the rest of a key that was given up
+            cols = [batch.column(c).to_numpy() for c in ("key", "comp", "id", "n")]
+            if passing is not None and len(cols[0]):  # the rest of a key that was given up
                 same = cols[0] == passing
                 if same.any():
                     yield passed_on(*(x[same] for x in cols))
                     cols = [x[~same] for x in cols]
-                    if not len(cols[0]):
-                        continue
-                passing = None
-            held.append(cols)
-            cols = [np.concatenate(x) for x in zip(*held)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on in the next batch
+            if not len(cols[0]):
+                continue
+            passing = None
+            cols = [np.r_[x, y] for x, y in zip(held, cols)] if held else cols
             starts = np.nonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])[0]
             sizes = np.diff(np.r_[starts, len(cols[0])])
             big = np.repeat(sizes > key_rows, sizes)
+            whole = np.arange(len(big)) < starts[-1]  # the last key may go on in the next batch
             if big.any():
                 yield passed_on(*(x[big] for x in cols))
-                if big[-1]:
-                    passing = cols[0][-1]
-            small = ~big
-            small[cut:] = False
-            if small.any() and (got := pairs(*(x[small] for x in cols))) is not None:
-                yield got
-            rest = ~big
-            rest[:cut] = False
-            held = [[x[rest] for x in cols]] if rest.any() else []
+                passing = cols[0][-1] if big[-1] else None
+            if (small := whole & ~big).any():
+                yield pairs(*(x[small] for x in cols))
+            held = [x[~whole & ~big] for x in cols]
+            held = held if len(held[0]) else []
         if held:
-            cols = [np.concatenate(x) for x in zip(*held)]
-            if (got := pairs(*cols)) is not None:
-                yield got
+            yield pairs(*held)
 
     return postings.mapInArrow(run, _COLLISION_SCHEMA)
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Keys with texts of more than one group, as ``key``: two extremes per key and task before the shuffle."""
+    ends = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return ends.where("lo <> hi").select("key")
+
+
 def _heavy_collisions(rows: DataFrame, threshold: float) -> DataFrame:
-    """The same for keys with very many rows, as a join that adaptive execution splits where it is skewed."""
-    rows = rows.select("key", F.col("a").alias("id"), F.get("bs", 0).alias("comp"), F.get("xs", 0).alias("pos"), "n")
+    """Collisions ``a, b`` under keys with very many rows, as a join that adaptive execution splits where it is skewed.
+
+    ``rows`` holds ``key, comp, id, n`` of keys with texts of several groups. Members of a key's largest group are
+    skipped against each other, so the join is linear in it.
+    """
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    major = sizes.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("comps"))
-    rows = rows.join(major.where("comps > 1"), "key")
+    major = sizes.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"))
+    rows = rows.join(major, "key")
     x, y = rows.where("comp <> major").alias("x"), rows.alias("y")
     either = (F.col("y.comp") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
     sizes_ok = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & either & sizes_ok)
-    t = threshold
-    need = F.ceil(t / (1 + t) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    suffix = F.greatest(F.ceil(t * F.col("x.n") - 1e-9), F.ceil(t * F.col("y.n") - 1e-9)) - 1
     small = F.col("x.comp") < F.col("y.comp")
     return pairs.select(
-        F.when(small, F.col("x.id")).otherwise(F.col("y.id")).alias("a"), F.array(F.when(small, F.col("y.id")).otherwise(F.col("x.id"))).alias("bs"),
-        F.array(F.greatest(F.lit(1), need - suffix).cast("int")).alias("xs"),
+        F.when(small, F.col("x.id")).otherwise(F.col("y.id")).alias("a"), F.when(small, F.col("y.id")).otherwise(F.col("x.id")).alias("b"),
+        F.lit(1).alias("n"),
     )
 
 
 def near_groups(
-    df: DataFrame, work: Workspace, threshold: float = 0.8, size: int = 5, key_rows: int = KEY_ROWS
+    df: DataFrame, work: Workspace, threshold: float = 0.8, size: int = 5, key_rows: int = KEY_ROWS, hot_rows: int | None = None
 ) -> DataFrame:
     """``record_set, id, group`` of every distinct text with at least ``size`` words: the smallest id of its group.
 
     ``df`` has ``record_set, id, text``; ids are unique within a set, at least 0 and below 2^53 over the number of sets
     (else it fails), and there are 1,000 sets at most; rows without an id are left out. Of equal texts only the smallest id appears.
     Null texts and texts of fewer words are left out; an empty table gives an empty result. Groups are linked, directly
-    or through others, by Jaccard similarities of word shingles of at least ``threshold``; no link is lost.
+    or through others, by Jaccard similarities of word shingles of at least ``threshold``. Keys that the sketch counts
+    ``hot_rows`` times or more (by default ``key_rows``, or eight times a counter's average where that is more) are
+    joined apart from the others.
     """
     spark = work.spark
+    least = match_threshold(threshold)
+    if least < HITS:
+        raise ValueError("the threshold is too low for the signature")
     names = [r[0] for r in df.select("record_set").distinct().orderBy("record_set").limit(1001).collect()]
     if len(names) > 1000:
         raise ValueError("more than 1,000 record sets")
@@ -442,31 +463,34 @@ def near_groups(
     # posted under the first coordinate; adaptive execution splits a hot value, which costs nothing but a later link
     posted = raw.hint("rebalance", "record_set", "c0").sortWithinPartitions("record_set", "c0", "n", "id")
     rows = work.write(_merge_copies(posted), "sets")
-    sets = rows.where("set is not null")
-    # the table keeps the order of the first coordinate, so that its leaders need no further shuffle
-    links = rows.where("id <> root").selectExpr("id as a", "root as b").unionByName(_leader_links(sets, "c0", threshold))
-    for k in range(1, COORDINATES):
-        posted = sets.select("record_set", f"c{k}", "n", "id", "set").hint("rebalance", "record_set", f"c{k}")
-        posted = posted.sortWithinPartitions("record_set", f"c{k}", "n", "id")
-        links = links.unionByName(_leader_links(posted, f"c{k}", threshold))
+    sets = rows.where("set is not null").select("id", "n", "set", (F.col("id") % max(1, len(names))).cast("int").alias("kind"))
+    starred = _star_postings(sets).hint("rebalance", "key").sortWithinPartitions("key", "n", "id")
+    stars = _star_collisions(starred, threshold).groupBy("a", "b").agg(F.count("*").alias("k")).where(F.col("k") >= HITS).select("a", "b")
+    links = rows.where("id <> root").selectExpr("id as a", "root as b").unionByName(_verify(stars, sets, threshold))
     links = work.write(links, "links")
     found = work.write(connected_components(links, "a", "b", work, "first"), "first")
-    sketch = spark.sparkContext.broadcast(frequency_sketch(sets).tobytes())
-    kinds = F.lit(0)
-    for i, name in enumerate(names):
-        kinds = F.when(F.col("record_set").eqNullSafe(F.lit(name)), i).otherwise(kinds)
+    count = sets.count()
+    width = min(max(COUNTERS[0], 1 << (count // LOAD).bit_length()), COUNTERS[1])
+    levels = frequency_sketch(sets, width)
+    sketch = spark.sparkContext.broadcast(levels.tobytes())
+    hot_rows = max(key_rows, 8 * count // width) if hot_rows is None else hot_rows
+    hot_level = int(level_of(hot_rows))
     sizes = found.groupBy("component").agg(F.floor(F.log2(F.count("*"))).cast("long").alias("size"))
     sized = found.join(sizes, "component").select("node", (F.col("component") + F.shiftleft("size", SIZE_BIT)).alias("component"))
-    grouped = sets.select("id", "set", kinds.cast("int").alias("kind")).join(
+    grouped = sets.join(
         sized.hint("merge"), F.col("id") == F.col("node"), "left"  # the groups grow with the input: no broadcast
-    ).select(
-        "kind", F.coalesce("component", "id").alias("comp"), "id", "set"
-    )
-    posted = _postings(grouped, sketch, threshold).repartition("key").sortWithinPartitions("key")
+    ).select("kind", F.coalesce("component", "id").alias("comp"), "id", "set")
+    skip = least - HITS
+    has_hot = bool((levels >= hot_level).any())
+    grouped = work.write(grouped, "grouped") if has_hot else grouped
+    posted = _postings(grouped, sketch, width, skip, hot_level, False).repartition("key").sortWithinPartitions("key")
     collisions = work.write(_collisions(posted, threshold, key_rows), "collisions")
-    pairs = collisions.where("kind = 0").select("a", "bs", "xs").unionByName(_heavy_collisions(collisions.where("kind = 1"), threshold))
-    pairs = pairs.repartition("a").select("a", F.explode(F.arrays_zip("bs", "xs")).alias("p")).select("a", F.col("p.bs").alias("b"), F.col("p.xs").alias("x"))
-    retained = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("x").alias("x")).where("k >= x").select("a", "b")
+    heavy = collisions.where("kind = 1").select("key", F.col("b").alias("comp"), F.col("a").alias("id"), "n")
+    if has_hot:  # rows of hot keys stay where they are; only those that texts of several groups have are joined
+        heavy = heavy.unionByName(work.write(_postings(grouped, sketch, width, skip, hot_level, True), "hot"))
+    heavy = work.write(heavy.join(_mixed(heavy), "key", "left_semi"), "heavy")
+    pairs = collisions.where("kind = 0").select("a", "b", "n").unionByName(_heavy_collisions(heavy, threshold))
+    retained = pairs.groupBy("a", "b").agg(F.sum("n").alias("k")).where(F.col("k") >= HITS).select("a", "b")
     verified = work.write(_verify(retained, sets, threshold), "verified")
     # the new links tie first groups together
     one = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))

@@ -104,11 +104,12 @@ def make(seed, n=140):
     return rows
 
 
-@pytest.mark.parametrize("threshold,size,key_rows", [(0.5, 3, 20_000), (0.5, 3, 3), (0.8, 5, 20_000), (0.3, 2, 5)])
-def test_near_groups_equal_brute_force(spark, work, threshold, size, key_rows):
+# keys of all kinds: paired in one task, given up there, and hot by the sketch
+@pytest.mark.parametrize("threshold,size,key_rows,hot_rows", [(0.5, 3, 20_000, None), (0.5, 3, 3, 10**6), (0.5, 3, 3, 3), (0.8, 5, 20_000, None), (0.3, 2, 5, None)])
+def test_near_groups_equal_brute_force(spark, work, threshold, size, key_rows, hot_rows):
     rows = make(11 + key_rows)
     df = spark.createDataFrame(rows, "record_set string, id long, text string").repartition(5)
-    got = {(r["record_set"], r["id"]): r["group"] for r in near.near_groups(df, work, threshold, size, key_rows).collect()}
+    got = {(r["record_set"], r["id"]): r["group"] for r in near.near_groups(df, work, threshold, size, key_rows, hot_rows).collect()}
     assert got == brute(rows, threshold, size)
 
 
@@ -117,6 +118,24 @@ def test_near_groups_of_nothing(spark, work):
     assert near.near_groups(df, work).count() == 0
 
 
+def test_match_threshold_bounds_the_loss():
+    from math import comb
+
+    for t in (0.3, 0.5, 0.8, 1.0):
+        m, k = near.match_threshold(t), near.COORDINATES
+        tail = sum(comb(k, i) * t**i * (1 - t) ** (k - i) for i in range(m))
+        assert tail <= near.LOSS and (m == k or tail + comb(k, m) * t**m * (1 - t) ** (k - m) > near.LOSS)
+
+
+def test_one_text_with_small_edits_a_thousand_times(spark, work):
+    # one hot key in every coordinate, and few texts beside it
+    rows = [("p", i, " ".join(f"w{k}" if k != i % 40 else f"x{i}" for k in range(40))) for i in range(1000)]
+    rows += [("p", 5000 + i, " ".join(f"v{k + 100 * i}" for k in range(20)) + " w1 w2 w3 w4") for i in range(50)]
+    df = spark.createDataFrame(rows, "record_set string, id long, text string").repartition(5)
+    got = {r["id"]: r["group"] for r in near.near_groups(df, work, 0.5, 3, 20, 20).collect()}
+    assert {got[i] for i in range(1000)} == {0} and all(got[5000 + i] == 5000 + i for i in range(50))
+
+
 def test_packed_sets_come_back():
     import numpy as np
 
