@@ -6,10 +6,11 @@
    text and with the one before it, so a list of any length costs its length. Collisions are counted per pair of texts;
    those with ``HITS`` or more are compared exactly, and their links give first groups.
 3. Counted join: texts are posted under their coordinate-value pairs but for the most frequent ones (prefix), in an
-   order by a frequency sketch. Lists whose texts are of one group are skipped, and so are members of a group against
-   each other (skip merging). Collisions are counted, and pairs of different groups with ``HITS`` or more are retained:
-   a pair over the threshold agrees in ``match_threshold`` coordinates, of which the skipped ones can hide all but
-   ``HITS``. Those are compared exactly.
+   order by a frequency sketch. Lists whose texts are of one group are skipped; the others are kept. Stars over them, as
+   in step 2, join most of the groups that belong together, at a cost of the lists' length. Under what is still mixed
+   then, members of a group are skipped against each other (skip merging), collisions are counted, and pairs of
+   different groups with ``HITS`` or more are retained: a pair over the threshold agrees in ``match_threshold``
+   coordinates, of which the skipped ones can hide all but ``HITS``. Those are compared exactly.
 4. Connected components of all links are the groups.
 
 A link is lost only if its two signatures agree in fewer coordinates than the match threshold, which is set so that
@@ -139,13 +140,12 @@ _SET_SCHEMA = T.StructType(
     ]
 )
 _LINK_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
-_STAR_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "id")] + [T.StructField("n", T.IntegerType())])
 _POSTING_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "comp", "id")] + [T.StructField("n", T.IntegerType())])
 _COLLISION_SCHEMA = T.StructType(
     [T.StructField("kind", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ("key", "a", "b")] + [T.StructField("n", T.IntegerType())]
 )
-#: A component's number carries the logarithm of its size in the bits from here on, so that larger ones are larger.
-SIZE_BIT = 54
+#: Ids times the number of record sets stay below this power of 2.
+ID_BITS = 53
 
 
 #: Odd multipliers, one for each coordinate: a set's least product is its value there.
@@ -241,7 +241,7 @@ def _merge_copies(posted: DataFrame) -> DataFrame:
 
 
 def _star_postings(sets: DataFrame) -> DataFrame:
-    """Each set under its first coordinate-value pairs, as ``key, id, n``."""
+    """Each set under its first coordinate-value pairs, as ``key, comp, id, n``, a group (``comp``) of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,34 +249,39 @@ def _star_postings(sets: DataFrame) -> DataFrame:
             for rows, values, starts, n in _parts(batch):
                 s = signatures(values, starts, STARS)
                 keys = _keys(kind[rows], np.arange(STARS)[:, None], s).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(ids[rows], STARS)), pa.array(np.tile(n.astype("int32"), STARS))], _STAR_SCHEMA.names)
+                own, sizes = pa.array(np.tile(ids[rows], STARS)), pa.array(np.tile(n.astype("int32"), STARS))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), own, own, sizes], _POSTING_SCHEMA.names)
 
-    return sets.select("kind", "id", "set").mapInArrow(run, _STAR_SCHEMA)
+    return sets.select("kind", "id", "set").mapInArrow(run, _POSTING_SCHEMA)
 
 
-def _star_collisions(sorted_postings: DataFrame, threshold: float) -> DataFrame:
-    """Collisions of each text with the first one under its key and with the one before it, where the sizes allow a link."""
+def _star_pairs(postings: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` with HITS collisions or more, of each text with the first one under its key and with the one before
+    it in order of size, where these are of other groups and the sizes allow a link. A hot key may be split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = last = None  # key, id and size of the list's first text and of the last one read
+        head = last = None  # key, group, id and size of the list's first text and of the last one read
         for batch in batches:
-            key, ids, n = (batch.column(c).to_numpy() for c in ("key", "id", "n"))
-            if not len(key):
+            columns = [batch.column(c).to_numpy() for c in ("key", "comp", "id", "n")]
+            if not len(columns[0]):
                 continue
+            old = 0 if head is None else 2
             if head is not None:
-                key, ids, n = (np.r_[[h, x], y] for h, x, y in zip(head, last, (key, ids, n)))
-            fresh = np.r_[True, key[1:] != key[:-1]]
-            first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+                columns = [np.r_[[h, x], y] for h, x, y in zip(head, last, columns)]
+            key, comp, ids, n = columns
             at = np.arange(len(key))
-            old = 2 if head is not None else 0
+            fresh = np.r_[True, key[1:] != key[:-1]]
+            first = np.maximum.accumulate(np.where(fresh, at, 0))
             one = np.nonzero(~fresh & (at >= old))[0]
-            two = one[first[one] < one - 1]
+            two = one[ids[first[one]] != ids[one - 1]]
             a, b = np.r_[one, two], np.r_[first[one], two - 1]
-            ok = (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9) & (ids[a] != ids[b])
-            head, last = ((key[k], ids[k], n[k]) for k in (first[-1], len(key) - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]].astype("int64")), pa.array(ids[b[ok]].astype("int64"))], _LINK_SCHEMA.names)
+            ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
+            head, last = ([x[k] for x in columns] for k in (first[-1], len(key) - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x[ok]].astype("int64")) for x in (a, b)], _LINK_SCHEMA.names)
 
-    return sorted_postings.mapInArrow(run, _LINK_SCHEMA)
+    listed = postings.select("key", "comp", "id", "n").hint("rebalance", "key").sortWithinPartitions("key", "n", "id")
+    counted = listed.mapInArrow(run, _LINK_SCHEMA).groupBy("a", "b").agg(F.count("*").alias("k"))
+    return counted.where(F.col("k") >= HITS).select("a", "b")
 
 
 def frequency_sketch(sets: DataFrame, width: int) -> np.ndarray:
@@ -344,9 +349,64 @@ def _pairs_under_key(comp, n, threshold: float):
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
+def _whole_keys(postings: DataFrame, key_rows: int, schema: T.StructType, whole, large) -> DataFrame:
+    """``whole`` of the arrays of whole keys, many at a time, and ``large`` of the rows of keys with more than
+    ``key_rows``, as they come; ``postings`` is partitioned and sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        passing = None
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in ("key", "comp", "id", "n")]
+            if passing is not None and len(cols[0]):  # the rest of a key that was given up
+                same = cols[0] == passing
+                if same.any():
+                    yield large(*(x[same] for x in cols))
+                    cols = [x[~same] for x in cols]
+            if not len(cols[0]):
+                continue
+            passing = None
+            cols = [np.r_[x, y] for x, y in zip(held, cols)] if held else cols
+            starts = np.nonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])[0]
+            sizes = np.diff(np.r_[starts, len(cols[0])])
+            big = np.repeat(sizes > key_rows, sizes)
+            ended = np.arange(len(big)) < starts[-1]  # the last key may go on in the next batch
+            if big.any():
+                yield large(*(x[big] for x in cols))
+                passing = cols[0][-1] if big[-1] else None
+            if (small := ended & ~big).any():
+                yield whole(*(x[small] for x in cols))
+            held = [x[~ended & ~big] for x in cols]
+            held = held if len(held[0]) else []
+        if held:
+            yield whole(*held)
+
+    return postings.select("key", "comp", "id", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def _starts(key: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the keys, and whether they have rows of several groups."""
+    starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+    ends = np.r_[starts[1:], len(key)]
+    return starts, ends, np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+
+
+def _mixed_lists(postings: DataFrame, key_rows: int) -> DataFrame:
+    """The postings of keys with texts of several groups, and of keys too large for one task."""
+
+    def kept(*cols):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], _POSTING_SCHEMA.names)
+
+    def mixed(key, comp, ids, n):
+        starts, ends, several = _starts(key, comp)
+        rows = np.repeat(several, ends - starts)
+        return kept(key[rows], comp[rows], ids[rows], n[rows])
+
+    return _whole_keys(postings, key_rows, _POSTING_SCHEMA, mixed, kept)
+
+
 def _collisions(postings: DataFrame, threshold: float, key_rows: int) -> DataFrame:
-    """Collisions of texts of different groups (kind 0), the text of the smaller group in ``a``, counted in ``n`` within a
-    batch; and the rows of keys too large for one task (kind 1), with group and size in ``b`` and ``n``."""
+    """Collisions of texts of different groups (kind 0), counted in ``n`` within a batch, the text of the lower group in ``a``; and the rows of keys too large for one task (kind 1), with group and size in ``b`` and ``n``."""
 
     def emit(kind, key, a, b, n):
         arrays = (np.full(len(a), kind, "int32"), key, a.astype("int64"), b.astype("int64"), n.astype("int32"))
@@ -356,10 +416,7 @@ def _collisions(postings: DataFrame, threshold: float, key_rows: int) -> DataFra
         return emit(1, key, ids, comp, n)
 
     def pairs(key, comp, ids, n):
-        """All keys of the arrays, which hold whole keys, vectorised for the many small ones."""
-        starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
-        ends = np.r_[starts[1:], len(key)]
-        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        starts, ends, mixed = _starts(key, comp)
         two = mixed & (ends - starts == 2)
         one, other = [starts[two]], [starts[two] + 1]
         for s, e in zip(starts[mixed & ~two], ends[mixed & ~two]):
@@ -376,35 +433,7 @@ def _collisions(postings: DataFrame, threshold: float, key_rows: int) -> DataFra
         at = np.nonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[0] if len(a) else np.empty(0, "int64")
         return emit(0, np.zeros(len(at), "int64"), a[at], b[at], np.diff(np.r_[at, len(a)]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        passing = None
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("key", "comp", "id", "n")]
-            if passing is not None and len(cols[0]):  # the rest of a key that was given up
-                same = cols[0] == passing
-                if same.any():
-                    yield passed_on(*(x[same] for x in cols))
-                    cols = [x[~same] for x in cols]
-            if not len(cols[0]):
-                continue
-            passing = None
-            cols = [np.r_[x, y] for x, y in zip(held, cols)] if held else cols
-            starts = np.nonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])[0]
-            sizes = np.diff(np.r_[starts, len(cols[0])])
-            big = np.repeat(sizes > key_rows, sizes)
-            whole = np.arange(len(big)) < starts[-1]  # the last key may go on in the next batch
-            if big.any():
-                yield passed_on(*(x[big] for x in cols))
-                passing = cols[0][-1] if big[-1] else None
-            if (small := whole & ~big).any():
-                yield pairs(*(x[small] for x in cols))
-            held = [x[~whole & ~big] for x in cols]
-            held = held if len(held[0]) else []
-        if held:
-            yield pairs(*held)
-
-    return postings.mapInArrow(run, _COLLISION_SCHEMA)
+    return _whole_keys(postings, key_rows, _COLLISION_SCHEMA, pairs, passed_on)
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -455,7 +484,7 @@ def near_groups(
     code = F.lit(None).cast("long")
     for i, name in enumerate(names):  # an id of both sets and a small number for each set
         code = F.when(F.col("record_set").eqNullSafe(F.lit(name)), F.lit(i).cast("long")).otherwise(code)
-    fits = F.col("id").between(0, (1 << (SIZE_BIT - 1)) // max(1, len(names)))
+    fits = F.col("id").between(0, (1 << ID_BITS) // max(1, len(names)))
     safe = F.when(fits, F.col("id")).otherwise(F.raise_error(F.lit("an id is negative or too large")).cast("long"))
     rows = df.where("id is not null")
     coded = rows.select("record_set", (safe * len(names) + code).alias("id"), "text") if names else rows
@@ -464,51 +493,59 @@ def near_groups(
     posted = raw.hint("rebalance", "record_set", "c0").sortWithinPartitions("record_set", "c0", "n", "id")
     rows = work.write(_merge_copies(posted), "sets")
     sets = rows.where("set is not null").select("id", "n", "set", (F.col("id") % max(1, len(names))).cast("int").alias("kind"))
-    starred = _star_postings(sets).hint("rebalance", "key").sortWithinPartitions("key", "n", "id")
-    stars = _star_collisions(starred, threshold).groupBy("a", "b").agg(F.count("*").alias("k")).where(F.col("k") >= HITS).select("a", "b")
-    links = rows.where("id <> root").selectExpr("id as a", "root as b").unionByName(_verify(stars, sets, threshold))
-    links = work.write(links, "links")
+    stars = _star_pairs(_star_postings(sets), threshold)
+    links = work.write(rows.where("id <> root").selectExpr("id as a", "root as b").unionByName(_verify(stars, sets, threshold)), "links")
     found = work.write(connected_components(links, "a", "b", work, "first"), "first")
     count = sets.count()
     width = min(max(COUNTERS[0], 1 << (count // LOAD).bit_length()), COUNTERS[1])
     levels = frequency_sketch(sets, width)
     sketch = spark.sparkContext.broadcast(levels.tobytes())
     hot_rows = max(key_rows, 8 * count // width) if hot_rows is None else hot_rows
-    hot_level = int(level_of(hot_rows))
-    sizes = found.groupBy("component").agg(F.floor(F.log2(F.count("*"))).cast("long").alias("size"))
-    sized = found.join(sizes, "component").select("node", (F.col("component") + F.shiftleft("size", SIZE_BIT)).alias("component"))
-    grouped = sets.join(
-        sized.hint("merge"), F.col("id") == F.col("node"), "left"  # the groups grow with the input: no broadcast
-    ).select("kind", F.coalesce("component", "id").alias("comp"), "id", "set")
-    skip = least - HITS
+    hot_level, skip = int(level_of(hot_rows)), least - HITS
+    grouped = _with_groups(sets.select("kind", "id", "set"), found)
     has_hot = bool((levels >= hot_level).any())
     grouped = work.write(grouped, "grouped") if has_hot else grouped
-    posted = _postings(grouped, sketch, width, skip, hot_level, False).repartition("key").sortWithinPartitions("key")
-    collisions = work.write(_collisions(posted, threshold, key_rows), "collisions")
+    lists = work.write(_mixed_lists(_postings(grouped, sketch, width, skip, hot_level, False), key_rows), "lists")
+    hot = None
+    if has_hot:  # rows of hot keys stay where they are, but for those that texts of several groups have
+        hot = work.write(_postings(grouped, sketch, width, skip, hot_level, True), "hot")
+        hot = work.write(hot.join(_mixed(hot), "key", "left_semi"), "mixed")
+    stars = _star_pairs(lists.unionByName(hot) if has_hot else lists, threshold)
+    found = _merge(found, work.write(_verify(stars, sets, threshold), "star-links"), work, "second")
+    collisions = work.write(_collisions(_with_groups(lists.drop("comp"), found), threshold, key_rows), "collisions")
     heavy = collisions.where("kind = 1").select("key", F.col("b").alias("comp"), F.col("a").alias("id"), "n")
-    if has_hot:  # rows of hot keys stay where they are; only those that texts of several groups have are joined
-        heavy = heavy.unionByName(work.write(_postings(grouped, sketch, width, skip, hot_level, True), "hot"))
+    heavy = heavy.unionByName(_with_groups(hot.drop("comp"), found)) if has_hot else heavy
     heavy = work.write(heavy.join(_mixed(heavy), "key", "left_semi"), "heavy")
     pairs = collisions.where("kind = 0").select("a", "b", "n").unionByName(_heavy_collisions(heavy, threshold))
     retained = pairs.groupBy("a", "b").agg(F.sum("n").alias("k")).where(F.col("k") >= HITS).select("a", "b")
-    verified = work.write(_verify(retained, sets, threshold), "verified")
-    # the new links tie first groups together
-    one = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    ties = verified.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    groups = connected_components(ties, "a", "b", work, "groups").withColumnRenamed("node", "first").withColumnRenamed("component", "last")
+    found = _merge(found, work.write(_verify(retained, sets, threshold), "verified"), work, "third")
     texts = rows.groupBy("record_set", "t1", "t2").agg(F.min("id").alias("id"))
-    named = texts.join(found, F.col("id") == F.col("node"), "left").withColumn("first", F.coalesce("component", "id"))
-    named = named.join(groups, "first", "left")
     # the component is named by any of its rows; its smallest text is what counts
-    named = named.select("record_set", "id", F.coalesce("last", "first").alias("c"))
-    least = named.groupBy("c").agg(F.min("id").alias("least"))
-    count = max(1, len(names))
-    return named.join(least, "c").select(
-        "record_set", F.floor(F.col("id") / count).cast("long").alias("id"), F.floor(F.col("least") / count).cast("long").alias("group")
+    named = _with_groups(texts, found)
+    smallest = named.groupBy("comp").agg(F.min("id").alias("least"))
+    sets_ = max(1, len(names))
+    return named.join(smallest, "comp").select(
+        "record_set", F.floor(F.col("id") / sets_).cast("long").alias("id"), F.floor(F.col("least") / sets_).cast("long").alias("group")
     )
 
 
+def _with_groups(df: DataFrame, found: DataFrame) -> DataFrame:
+    """``df`` with ``comp``, the group of its ``id``; the id itself where it isn't linked."""
+    # the groups grow with the input: no broadcast
+    joined = df.join(found.hint("merge"), F.col("id") == F.col("node"), "left")
+    return joined.select(*df.columns, F.coalesce("component", "id").alias("comp"))
+
+
+def _merge(found: DataFrame, links: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """``node, component`` after further links, which tie groups together."""
+    ties = _with_groups(links.withColumnRenamed("a", "id"), found).select(F.col("comp").alias("a"), F.col("b").alias("id"))
+    ties = _with_groups(ties, found).select("a", F.col("comp").alias("b"))
+    groups = connected_components(ties, "a", "b", work, name)
+    last = groups.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    tied = found.join(last, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    return work.write(tied.unionByName(groups.join(found, "node", "left_anti").select("node", "component")), name)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs whose sets have the similarity, compared exactly."""
     known = sets.select("id", "set").hint("merge")  # pairs grow with the input: no broadcast
