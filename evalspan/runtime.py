@@ -71,6 +71,18 @@ class Workspace:
         self.written[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Write ``df`` once in buckets of a key, one file each, and return the table: a join on that key then shuffles
+        the other side only. There are as many buckets as shuffle partitions, which the cluster sets by its input."""
+        path = f"{self.root}/{len(self.written)}-{name}"
+        table = f"evalspan_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = df.repartition(buckets, key)
+        placed.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+        self.written[name] = path
+        atexit.register(_forget, self.spark, table)
+        return self.spark.table(table)
+
     def drop(self, name: str) -> None:
         """Delete the table last written under a name; no later plan may read it."""
         jvm = self.spark.sparkContext._jvm
@@ -78,6 +90,12 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _forget(spark: SparkSession, table: str) -> None:
+    """Take a table out of the catalogue at the end of the application, if the session still lives."""
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def skew_safe_join(edges: DataFrame, values: DataFrame, key: str, heavy: DataFrame | None) -> DataFrame:
     """Inner join of ``edges`` with one row per key in ``values``, where some keys hold very many edges.
 
