@@ -1,7 +1,8 @@
 """Near-duplicates with small edits: groups of texts whose word shingles overlap by a threshold or more.
 
-1. Each text becomes the set of its shingles (40-bit hashes). Equal sets keep one row. Its signature has ``COORDINATES``
-   min-hash values: two sets agree in one with a chance that equals their similarity.
+1. Each text becomes the set of its shingles (40-bit hashes), which are shuffled once, into buckets of their id. Of equal
+   sets (by a hash of 128 bits) one stands for all. Its signature has ``COORDINATES`` min-hash values: two sets agree in
+   one with a chance that equals their similarity.
 2. Stars: texts are posted under the first coordinate-value pairs. Under each pair a text collides with the list's first
    text and with the one before it, so a list of any length costs its length. Collisions are counted per pair of texts;
    those with ``HITS`` or more are compared exactly, and their links give first groups.
@@ -135,8 +136,7 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 _SET_SCHEMA = T.StructType(
     [
         T.StructField("record_set", T.StringType()), T.StructField("id", T.LongType()), T.StructField("root", T.LongType()),
-        T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), T.StructField("n", T.IntegerType()),
-        T.StructField("c0", T.LongType()), T.StructField("set", T.BinaryType()),
+        *(T.StructField(c, T.LongType()) for c in ("t1", "t2", "h1", "h2")), T.StructField("set", T.BinaryType()),
     ]
 )
 _LINK_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
@@ -179,8 +179,13 @@ def _batch(schema: T.StructType, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema.names)
 
 
+def _halves(x: int) -> tuple[int, int]:
+    """127 bits of a hash as two numbers that aren't negative."""
+    return x & ((1 << 63) - 1), x >> 65
+
+
 def shingle_sets(df: DataFrame, size: int) -> DataFrame:
-    """``record_set, id, text`` to sets, text hashes and signatures; texts with fewer words than ``size`` are left out.
+    """``record_set, id, text`` to sets, with hashes of text and set; texts with fewer words than ``size`` are left out.
 
     ``root`` is the id of the row that carries the set: of equal sets within one task only the first does.
     """
@@ -193,16 +198,15 @@ def shingle_sets(df: DataFrame, size: int) -> DataFrame:
             full = np.nonzero(counts)[0]
             if not len(full):
                 return
-            starts = (ends - counts)[full]
-            first = signatures(values, starts, 1)[0]
             rows = []
-            for at, k in enumerate(full):
+            for k in full:
                 record_set, key, text = part[k]
                 own, t = data[BITS // 8 * (ends[k] - counts[k]) : BITS // 8 * ends[k]], xxhash.xxh3_128_intdigest(text)
                 if len(seen) > 200_000:
                     seen.clear()
-                root = seen.setdefault((record_set, xxhash.xxh3_128_digest(own)), key)
-                rows.append((record_set, key, root, t & ((1 << 63) - 1), t >> 65, int(counts[k]), int(first[at]), own if root == key else None))
+                h = xxhash.xxh3_128_intdigest(own)
+                root = seen.setdefault((record_set, h), key)
+                rows.append((record_set, key, root, *_halves(t), *_halves(h), own if root == key else None))
             yield _batch(_SET_SCHEMA, list(zip(*rows)))
 
         for batch in batches:
@@ -219,27 +223,6 @@ def shingle_sets(df: DataFrame, size: int) -> DataFrame:
     return df.where("text is not null").select("record_set", "id", "text").mapInArrow(run, _SET_SCHEMA)
 
 
-def _merge_copies(posted: DataFrame) -> DataFrame:
-    """Of equal sets under one coordinate only the first keeps its set; the others point to it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, seen = None, {}
-        for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in ("record_set", "c0", "id", "root", "set")}
-            for k, (record_set, value, key, data) in enumerate(zip(*(columns[c] for c in ("record_set", "c0", "id", "set")))):
-                if (record_set, value) != at or len(seen) > 200_000:
-                    at, seen = (record_set, value), {}
-                if data is None:
-                    continue
-                first = seen.setdefault(data, key)
-                if first != key:
-                    columns["root"][k], columns["set"][k] = first, None
-            arrays = [pa.array(columns[f.name], pa.int64() if f.name == "root" else pa.binary()) if f.name in ("root", "set") else batch.column(f.name) for f in _SET_SCHEMA]
-            yield pa.RecordBatch.from_arrays(arrays, _SET_SCHEMA.names)
-
-    return posted.mapInArrow(run, _SET_SCHEMA)
-
-
 def _star_postings(sets: DataFrame) -> DataFrame:
     """Each set under its first coordinate-value pairs, as ``key, comp, id, n``, a group (``comp``) of its own."""
 
@@ -463,7 +446,8 @@ def _heavy_collisions(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_groups(
-    df: DataFrame, work: Workspace, threshold: float = 0.8, size: int = 5, key_rows: int = KEY_ROWS, hot_rows: int | None = None
+    df: DataFrame, work: Workspace, threshold: float = 0.8, size: int = 5, key_rows: int = KEY_ROWS, hot_rows: int | None = None,
+    hot_pairs: int = 100_000,
 ) -> DataFrame:
     """``record_set, id, group`` of every distinct text with at least ``size`` words: the smallest id of its group.
 
@@ -472,7 +456,7 @@ def near_groups(
     Null texts and texts of fewer words are left out; an empty table gives an empty result. Groups are linked, directly
     or through others, by Jaccard similarities of word shingles of at least ``threshold``. Keys that the sketch counts
     ``hot_rows`` times or more (by default ``key_rows``, or eight times a counter's average where that is more) are
-    joined apart from the others.
+    joined apart from the others; the set of a text with more than ``hot_pairs`` pairs is copied to several tasks.
     """
     spark = work.spark
     least = match_threshold(threshold)
@@ -488,37 +472,40 @@ def near_groups(
     safe = F.when(fits, F.col("id")).otherwise(F.raise_error(F.lit("an id is negative or too large")).cast("long"))
     rows = df.where("id is not null")
     coded = rows.select("record_set", (safe * len(names) + code).alias("id"), "text") if names else rows
-    raw = shingle_sets(coded, size)
-    # posted under the first coordinate; adaptive execution splits a hot value, which costs nothing but a later link
-    posted = raw.hint("rebalance", "record_set", "c0").sortWithinPartitions("record_set", "c0", "n", "id")
-    rows = work.write(_merge_copies(posted), "sets")
-    sets = rows.where("set is not null").select("id", "n", "set", (F.col("id") % max(1, len(names))).cast("int").alias("kind"))
-    stars = _star_pairs(_star_postings(sets), threshold)
-    links = work.write(rows.where("id <> root").selectExpr("id as a", "root as b").unionByName(_verify(stars, sets, threshold)), "links")
+    rows = work.write_bucketed(shingle_sets(coded, size), "sets", "id")
+    sets = rows.where("set is not null").select("id", "set")
+    own = rows.where("set is not null").groupBy("record_set", "h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    own = work.write(own, "different")
+    many = own.where("copies > 1").select("record_set", "h1", "h2", "first")
+    copies = rows.where("set is not null").select("record_set", "h1", "h2", F.col("id").alias("a")).join(many, ["record_set", "h1", "h2"])
+    kind = (F.col("id") % max(1, len(names))).cast("int").alias("kind")
+    unique = sets.join(own.select(F.col("first").alias("id")).hint("merge"), "id").select(kind, "id", "set")
+    stars = _star_pairs(_star_postings(unique), threshold)
+    same = rows.where("id <> root").selectExpr("id as a", "root as b").unionByName(copies.where("a <> first").selectExpr("a", "first as b"))
+    links = work.write(same.unionByName(_verify(stars, sets, threshold, work, "first", hot_pairs)), "links")
     found = work.write(connected_components(links, "a", "b", work, "first"), "first")
-    count = sets.count()
+    count = own.count()
     width = min(max(COUNTERS[0], 1 << (count // LOAD).bit_length()), COUNTERS[1])
-    levels = frequency_sketch(sets, width)
+    levels = frequency_sketch(unique, width)
     sketch = spark.sparkContext.broadcast(levels.tobytes())
     hot_rows = max(key_rows, 8 * count // width) if hot_rows is None else hot_rows
     hot_level, skip = int(level_of(hot_rows)), least - HITS
-    grouped = _with_groups(sets.select("kind", "id", "set"), found)
+    grouped = _with_groups(unique, found)
     has_hot = bool((levels >= hot_level).any())
-    grouped = work.write(grouped, "grouped") if has_hot else grouped
     lists = work.write(_mixed_lists(_postings(grouped, sketch, width, skip, hot_level, False), key_rows), "lists")
     hot = None
     if has_hot:  # rows of hot keys stay where they are, but for those that texts of several groups have
         hot = work.write(_postings(grouped, sketch, width, skip, hot_level, True), "hot")
         hot = work.write(hot.join(_mixed(hot), "key", "left_semi"), "mixed")
     stars = _star_pairs(lists.unionByName(hot) if has_hot else lists, threshold)
-    found = _merge(found, work.write(_verify(stars, sets, threshold), "star-links"), work, "second")
-    collisions = work.write(_collisions(_with_groups(lists.drop("comp"), found), threshold, key_rows), "collisions")
+    found, changed = _merge(found, work.write(_verify(stars, sets, threshold, work, "second", hot_pairs), "star-links"), work, "second")
+    collisions = work.write(_collisions(_renamed(lists, changed), threshold, key_rows), "collisions")
     heavy = collisions.where("kind = 1").select("key", F.col("b").alias("comp"), F.col("a").alias("id"), "n")
-    heavy = heavy.unionByName(_with_groups(hot.drop("comp"), found)) if has_hot else heavy
+    heavy = heavy.unionByName(_renamed(hot, changed)) if has_hot else heavy
     heavy = work.write(heavy.join(_mixed(heavy), "key", "left_semi"), "heavy")
     pairs = collisions.where("kind = 0").select("a", "b", "n").unionByName(_heavy_collisions(heavy, threshold))
     retained = pairs.groupBy("a", "b").agg(F.sum("n").alias("k")).where(F.col("k") >= HITS).select("a", "b")
-    found = _merge(found, work.write(_verify(retained, sets, threshold), "verified"), work, "third")
+    found, _ = _merge(found, work.write(_verify(retained, sets, threshold, work, "third", hot_pairs), "verified"), work, "third")
     texts = rows.groupBy("record_set", "t1", "t2").agg(F.min("id").alias("id"))
     # the component is named by any of its rows; its smallest text is what counts
     named = _with_groups(texts, found)
@@ -536,24 +523,47 @@ def _with_groups(df: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select(*df.columns, F.coalesce("component", "id").alias("comp"))
 
 
-def _merge(found: DataFrame, links: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """``node, component`` after further links, which tie groups together."""
+def _merge(found: DataFrame, links: DataFrame, work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """``node, component`` after further links, which tie groups together, and ``old, new`` of the groups concerned."""
     ties = _with_groups(links.withColumnRenamed("a", "id"), found).select(F.col("comp").alias("a"), F.col("b").alias("id"))
     ties = _with_groups(ties, found).select("a", F.col("comp").alias("b"))
     groups = connected_components(ties, "a", "b", work, name)
-    last = groups.select(F.col("node").alias("old"), F.col("component").alias("new"))
-    tied = found.join(last, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
-    return work.write(tied.unionByName(groups.join(found, "node", "left_anti").select("node", "component")), name)
+    changed = groups.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    tied = found.join(changed, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    return work.write(tied.unionByName(groups.join(found, "node", "left_anti").select("node", "component")), name), changed
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs whose sets have the similarity, compared exactly."""
+def _renamed(postings: DataFrame, changed: DataFrame) -> DataFrame:
+    joined = postings.join(changed, F.col("comp") == F.col("old"), "left")
+    return joined.select("key", F.coalesce("new", "comp").alias("comp"), "id", "n")
+
+
+#: Tasks to which the set of a text with very many pairs is copied.
+COPIES = 64
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, threshold: float, work: Workspace, name: str, hot_pairs: int) -> DataFrame:
+    """Those of the pairs whose sets have the similarity, compared exactly: ``a, b``.
+
+    ``sets`` lies in buckets of the id, so that pairs go to their first set, and take it along to their second one. The
+    set of a text with more than ``hot_pairs`` pairs is copied to several tasks first.
+    """
+    pairs = work.write(pairs, f"{name}-pairs")
     known = sets.select("id", "set").hint("merge")  # pairs grow with the input: no broadcast
-    both = (
-        pairs.join(known.withColumnRenamed("id", "a").withColumnRenamed("set", "sa"), "a")
-        .join(known.withColumnRenamed("id", "b").withColumnRenamed("set", "sb"), "b")
-        .select("a", "b", "sa", "sb")
-    )
+    hot = pairs.groupBy("b").agg(F.count("*").alias("m")).where(F.col("m") > hot_pairs).select("b")
+    hot = work.write(hot, f"{name}-hot")  # at most one in hot_pairs of the pairs
+    normal = pairs
+    some = not hot.isEmpty()
+    if some:
+        normal = pairs.join(hot, "b", "left_anti").select("a", "b")
+    first = normal.join(known.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sb")
+    if some:
+        salt = F.pmod(F.xxhash64("a"), F.lit(COPIES)).cast("int").alias("salt")
+        many = hot.join(known.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+        many = many.select("b", "sb", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("salt"))
+        apart = pairs.join(hot, "b", "left_semi").select("a", "b", salt)
+        first = first.unionByName(apart.join(many.hint("merge"), ["b", "salt"]).select("a", "b", "sb"))
+    both = first.join(known.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

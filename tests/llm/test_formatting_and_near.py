@@ -132,7 +132,7 @@ def test_one_text_with_small_edits_a_thousand_times(spark, work):
     rows = [("p", i, " ".join(f"w{k}" if k != i % 40 else f"x{i}" for k in range(40))) for i in range(1000)]
     rows += [("p", 5000 + i, " ".join(f"v{k + 100 * i}" for k in range(20)) + " w1 w2 w3 w4") for i in range(50)]
     df = spark.createDataFrame(rows, "record_set string, id long, text string").repartition(5)
-    got = {r["id"]: r["group"] for r in near.near_groups(df, work, 0.5, 3, 20, 20).collect()}
+    got = {r["id"]: r["group"] for r in near.near_groups(df, work, 0.5, 3, 20, 20, hot_pairs=50).collect()}
     assert {got[i] for i in range(1000)} == {0} and all(got[5000 + i] == 5000 + i for i in range(50))
 
 
