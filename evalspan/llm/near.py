@@ -5,7 +5,7 @@
    one with a chance that equals their similarity.
 2. Stars: texts are posted under the first coordinate-value pairs. Under each pair a text collides with the list's first
    text and with the one before it, so a list of any length costs its length. Collisions are counted per pair of texts;
-   those with ``HITS`` or more are compared exactly, and their links give first groups.
+   those with ``STAR_HITS`` or more are compared exactly, and their links give first groups.
 3. Counted join: texts are posted under their coordinate-value pairs but for the most frequent ones (prefix), in an
    order by a frequency sketch. Lists whose texts are of one group are skipped; the others are kept. Stars over them, as
    in step 2, join most of the groups that belong together, at a cost of the lists' length. Under what is still mixed
@@ -38,16 +38,17 @@ WORD = re.compile(r"[A-Za-z0-9_]+")
 #: Bits of a shingle's hash. Two different shingles of two texts agree by chance once in 10^8 pairs of texts.
 BITS = 40
 _MASK = np.uint64((1 << BITS) - 1)
-#: Coordinates of the min-hash signature, those of step 2, and collisions from which a pair is compared.
-COORDINATES, STARS, HITS = 96, 16, 2
+#: Coordinates of the min-hash signature, those of step 2, and collisions from which a pair is compared: of stars, and of
+#: all texts under a key.
+COORDINATES, STARS, STAR_HITS, HITS = 96, 16, 2, 4
 #: The chance at most that two sets right at the threshold agree in fewer coordinates than the match threshold.
 LOSS = 1e-8
 #: Counters of the frequency sketch for each coordinate: one for LOAD texts, within bounds (12 MB in all at most).
 COUNTERS, LOAD = (1 << 14, 1 << 17), 32
 #: Rows under one key that one task pairs in memory; keys with more go through a join.
 KEY_ROWS = 4_000
-#: Values of sets whose signatures are made together.
-PART_VALUES = 1_000_000
+#: Values of sets whose signatures are made together, and pairs.
+PART_VALUES, PART_PAIRS = 1_000_000, 2_000_000
 #: Characters whose shingles are made together.
 PART_CHARS = 4_000_000
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], "uint64")
@@ -239,7 +240,7 @@ def _star_postings(sets: DataFrame) -> DataFrame:
 
 
 def _star_pairs(postings: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` with HITS collisions or more, of each text with the first one under its key and with the one before
+    """Pairs ``a, b`` with STAR_HITS collisions or more, of each text with the first one under its key and with the one before
     it in order of size, where these are of other groups and the sizes allow a link. A hot key may be split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +265,7 @@ def _star_pairs(postings: DataFrame, threshold: float) -> DataFrame:
 
     listed = postings.select("key", "comp", "id", "n").hint("rebalance", "key").sortWithinPartitions("key", "n", "id")
     counted = listed.mapInArrow(run, _LINK_SCHEMA).groupBy("a", "b").agg(F.count("*").alias("k"))
-    return counted.where(F.col("k") >= HITS).select("a", "b")
+    return counted.where(F.col("k") >= STAR_HITS).select("a", "b")
 
 
 def frequency_sketch(sets: DataFrame, width: int) -> np.ndarray:
@@ -318,18 +319,38 @@ def _postings(grouped: DataFrame, sketch, width: int, skip: int, hot_level: int,
     return grouped.mapInArrow(run, _POSTING_SCHEMA)
 
 
-def _pairs_under_key(comp, n, threshold: float):
-    """Pairs of different groups under one key, with at least one side outside the largest group."""
-    values, counts = np.unique(comp, return_counts=True)
-    major = values[np.argmax(counts)]
-    minor = np.nonzero(comp != major)[0]
-    out = []
-    for i in minor:
-        j = np.nonzero((comp != comp[i]) & ((comp == major) | (np.arange(len(comp)) > i)))[0]
-        lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        j = j[lo >= threshold * hi - 1e-9]
-        out.append((np.full(len(j), i), j))
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+def _ranges(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of the rows with every number of its range."""
+    sizes = hi - lo
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(rows, sizes), np.arange(sizes.sum()) + np.repeat(lo - before, sizes)
+
+
+def _cross_pairs(key, comp) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one key and different groups, with at least one side outside the key's largest group, about
+    PART_PAIRS at a time; the rows are sorted by key and group."""
+    fresh = np.r_[True, key[1:] != key[:-1]]
+    runs = np.nonzero(fresh | np.r_[True, comp[1:] != comp[:-1]])[0]  # of one group under one key
+    size = np.diff(np.r_[runs, len(key)])
+    first = np.nonzero(fresh[runs])[0]  # run of each key
+    most = np.repeat(np.maximum.reduceat(size, first), np.diff(np.r_[first, len(runs)]))
+    of_key = np.cumsum(fresh[runs]) - 1
+    largest = np.nonzero(size == most)[0]
+    largest = largest[np.unique(of_key[largest], return_index=True)[1]]  # the first of equally large ones
+    major = np.zeros(len(runs), bool)
+    major[largest] = True
+    run_of = np.repeat(np.arange(len(runs)), size)
+    minor = np.nonzero(~major[run_of])[0]
+    own = run_of[minor]
+    lo, end = runs[largest][of_key[own]], np.r_[runs[first], len(key)][of_key[own] + 1]
+    hi, after = lo + most[own], runs[own] + size[own]
+    part = np.cumsum(hi - lo + end - after) // PART_PAIRS
+    edges = np.r_[0, np.nonzero(part[1:] != part[:-1])[0] + 1, len(minor)] if len(minor) else np.zeros(1, "int64")
+    for s, e in zip(edges[:-1], edges[1:]):
+        i, j = _ranges(minor[s:e], lo[s:e], hi[s:e])
+        k, m = _ranges(minor[s:e], after[s:e], end[s:e])
+        other = ~major[run_of[m]]
+        yield np.r_[i, k[other]], np.r_[j, m[other]]
 
 
 def _whole_keys(postings: DataFrame, key_rows: int, schema: T.StructType, whole, large) -> DataFrame:
@@ -344,7 +365,7 @@ def _whole_keys(postings: DataFrame, key_rows: int, schema: T.StructType, whole,
             if passing is not None and len(cols[0]):  # the rest of a key that was given up
                 same = cols[0] == passing
                 if same.any():
-                    yield large(*(x[same] for x in cols))
+                    yield from large(*(x[same] for x in cols))
                     cols = [x[~same] for x in cols]
             if not len(cols[0]):
                 continue
@@ -355,66 +376,54 @@ def _whole_keys(postings: DataFrame, key_rows: int, schema: T.StructType, whole,
             big = np.repeat(sizes > key_rows, sizes)
             ended = np.arange(len(big)) < starts[-1]  # the last key may go on in the next batch
             if big.any():
-                yield large(*(x[big] for x in cols))
+                yield from large(*(x[big] for x in cols))
                 passing = cols[0][-1] if big[-1] else None
             if (small := ended & ~big).any():
-                yield whole(*(x[small] for x in cols))
+                yield from whole(*(x[small] for x in cols))
             held = [x[~ended & ~big] for x in cols]
             held = held if len(held[0]) else []
         if held:
-            yield whole(*held)
+            yield from whole(*held)
 
     return postings.select("key", "comp", "id", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
-def _starts(key: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the keys, and whether they have rows of several groups."""
-    starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
-    ends = np.r_[starts[1:], len(key)]
-    return starts, ends, np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-
-
 def _mixed_lists(postings: DataFrame, key_rows: int) -> DataFrame:
     """The postings of keys with texts of several groups, and of keys too large for one task."""
 
     def kept(*cols):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], _POSTING_SCHEMA.names)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], _POSTING_SCHEMA.names)
 
     def mixed(key, comp, ids, n):
-        starts, ends, several = _starts(key, comp)
-        rows = np.repeat(several, ends - starts)
+        starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+        several = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        rows = np.repeat(several, np.diff(np.r_[starts, len(key)]))
         return kept(key[rows], comp[rows], ids[rows], n[rows])
 
     return _whole_keys(postings, key_rows, _POSTING_SCHEMA, mixed, kept)
 
 
 def _collisions(postings: DataFrame, threshold: float, key_rows: int) -> DataFrame:
-    """Collisions of texts of different groups (kind 0), counted in ``n`` within a batch, the text of the lower group in ``a``; and the rows of keys too large for one task (kind 1), with group and size in ``b`` and ``n``."""
+    """Collisions of texts of different groups (kind 0), counted in ``n`` within a batch; and the rows of keys too large for one task (kind 1), with group and size in ``b`` and ``n``."""
 
     def emit(kind, key, a, b, n):
         arrays = (np.full(len(a), kind, "int32"), key, a.astype("int64"), b.astype("int64"), n.astype("int32"))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], _COLLISION_SCHEMA.names)
 
     def passed_on(key, comp, ids, n):
-        return emit(1, key, ids, comp, n)
+        yield emit(1, key, ids, comp, n)
 
     def pairs(key, comp, ids, n):
-        starts, ends, mixed = _starts(key, comp)
-        two = mixed & (ends - starts == 2)
-        one, other = [starts[two]], [starts[two] + 1]
-        for s, e in zip(starts[mixed & ~two], ends[mixed & ~two]):
-            i, j = _pairs_under_key(comp[s:e], n[s:e], threshold)
-            one.append(i + s)
-            other.append(j + s)
-        i, j = np.concatenate(one).astype("int64"), np.concatenate(other).astype("int64")
-        near = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
-        i, j = i[near], j[near]
-        swap = comp[i] > comp[j]
-        a, b = ids[np.where(swap, j, i)], ids[np.where(swap, i, j)]
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        at = np.nonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[0] if len(a) else np.empty(0, "int64")
-        return emit(0, np.zeros(len(at), "int64"), a[at], b[at], np.diff(np.r_[at, len(a)]))
+        order = np.lexsort((comp, key))
+        ids, n = ids[order], n[order]
+        for i, j in _cross_pairs(key[order], comp[order]):
+            near = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
+            i, j = ids[i[near]], ids[j[near]]
+            a, b = np.minimum(i, j), np.maximum(i, j)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            at = np.nonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[0] if len(a) else np.empty(0, "int64")
+            yield emit(0, np.zeros(len(at), "int64"), a[at], b[at], np.diff(np.r_[at, len(a)]))
 
     return _whole_keys(postings, key_rows, _COLLISION_SCHEMA, pairs, passed_on)
 
@@ -438,11 +447,7 @@ def _heavy_collisions(rows: DataFrame, threshold: float) -> DataFrame:
     either = (F.col("y.comp") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
     sizes_ok = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & either & sizes_ok)
-    small = F.col("x.comp") < F.col("y.comp")
-    return pairs.select(
-        F.when(small, F.col("x.id")).otherwise(F.col("y.id")).alias("a"), F.when(small, F.col("y.id")).otherwise(F.col("x.id")).alias("b"),
-        F.lit(1).alias("n"),
-    )
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.lit(1).alias("n"))
 
 
 def near_groups(
