@@ -32,7 +32,11 @@ def repository(value: Column) -> Column:
     return F.when(part(1) != "", F.concat(part(1), F.lit("/"), part(2)))
 
 
-def group_records(df: DataFrame, row_key: str, entities: Sequence[Column], work: Workspace) -> DataFrame:
+#: Rows from which an entity or a group may count as heavy; below this any task can hold them.
+HEAVY_FLOOR = 100_000
+
+
+def group_records(df: DataFrame, row_key: str, entities: Sequence[Column], work: Workspace, heavy_floor: int = HEAVY_FLOOR) -> DataFrame:
     """``df`` with ``group_id`` (which replaces a column of that name): rows that share an entity, directly or through other rows, have the same.
 
     A record's first entity that isn't null stands for it; the others tie that entity to further ones, so only records
@@ -51,11 +55,15 @@ def group_records(df: DataFrame, row_key: str, entities: Sequence[Column], work:
         stats = stats.join(groups.withColumnRenamed("node", "_entity"), "_entity")
         # entities with more than a ten-thousandth of the rows are at most ten thousand: they may be broadcast
         stats = work.write(stats, "entities")
-        floor = max(100_000, (stats.agg(F.sum("n")).first()[0] or 0) // 10_000)
+        floor = max(heavy_floor, (stats.agg(F.sum("n")).first()[0] or 0) // 10_000)
         heavy = stats.where(F.col("n") > floor).select("_entity", F.col("component").alias("hot"))
         rest = stats.where(F.col("n") <= floor).select("_entity", "component")
-        named = named.join(F.broadcast(heavy), "_entity", "left").join(rest, "_entity", "left")
-        named = named.select("_row", F.coalesce("hot", "component", "_entity").alias("_group"))
+        # rows of a heavy entity, and rows without one, stay where they are
+        marked = named.where("_entity is not null").join(F.broadcast(heavy), "_entity", "left")
+        hot = marked.where("hot is not null").select("_row", F.col("hot").alias("_group"))
+        others = marked.where("hot is null").drop("hot").join(rest, "_entity", "left").select("_row", F.coalesce("component", "_entity").alias("_group"))
+        none = named.where("_entity is null").select("_row", F.col("_entity").alias("_group"))
+        named = hot.unionByName(others).unionByName(none)
     else:
         named = named.select("_row", F.col("_entity").alias("_group"))
     own = F.concat(F.lit("row:"), F.coalesce(F.col(f"_row.{row_key}").cast("string"), F.lit("")))
@@ -84,13 +92,12 @@ def normal_split(value: Column) -> Column:
     return F.when(letters.isin("train", "heldout"), letters)
 
 
-def broken_groups(grouped: DataFrame, split: str, total: int) -> DataFrame:
+def broken_groups(grouped: DataFrame, split: str, total: int, heavy_floor: int = HEAVY_FLOOR) -> DataFrame:
     """Rows with a split that isn't null in a group that holds both frozen splits."""
     rows = grouped.where(F.col(split).isNotNull()).select(F.struct("*").alias("_row"), "group_id", normal_split(F.col(split)).alias("s"))
     both = (
         rows.groupBy("group_id").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.count("*").alias("n")).where("a <> b").select("group_id", "n")
     )
-    heavy = None
-    if total > 100_000:
-        heavy = both.where(F.col("n") > max(100_000, total // 1000)).drop("n")
+    # at most a thousand groups hold more than a thousandth of the rows
+    heavy = both.where(F.col("n") > max(heavy_floor, total // 1000)).drop("n") if total > heavy_floor else None
     return skew_safe_join(rows.drop("s"), both.drop("n"), "group_id", heavy).select("_row.*")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -57,21 +58,32 @@ ROWS = [
 ]
 
 
-def grouped(spark, work, rows=ROWS):
+def grouped(spark, work, rows=ROWS, floor=splits.HEAVY_FLOOR):
     df = spark.createDataFrame(rows, "row_id long, instance_id string, image_name string, split string")
     for name in ("component", "_entity", "_row", "group_id", "n", "hot", "a"):  # columns that clash with those inside
         df = df.withColumn(name, F.lit(1))
     entities = [splits.repository(F.col("instance_id")), splits.repository(F.col("image_name"))]
-    return splits.group_records(df, "row_id", entities, work)
+    return splits.group_records(df, "row_id", entities, work, floor)
 
 
-def test_groups_follow_chains(spark, work):
-    got = {r["row_id"]: r["group_id"] for r in grouped(spark, work).collect()}
-    assert len({got[i] for i in (1, 2, 3, 7)}) == 1 and len({got[i] for i in (1, 4, 5, 6, 8)}) == 5
-    broken = splits.broken_groups(grouped(spark, work), "split", len(ROWS))
+@pytest.mark.parametrize("floor", [1, splits.HEAVY_FLOOR])  # entities and groups heavy or not
+def test_groups_follow_chains(spark, work, floor):
+    got = {r["row_id"]: r["group_id"] for r in grouped(spark, work, floor=floor).collect()}
+    assert len({got[i] for i in (1, 2, 3, 7)}) == 1 and len({got[i] for i in (1, 4, 5, 6, 8)}) == 5 and len(got) == len(ROWS)
+    broken = splits.broken_groups(grouped(spark, work, floor=floor), "split", len(ROWS), floor)
     assert sorted(r["row_id"] for r in broken.collect()) == [1, 2, 3]
 
 
+def test_rows_of_a_hot_entity_are_not_shuffled(spark, work):
+    # half of all rows name one repository, a quarter none
+    df = spark.range(8000).selectExpr("id as row_id", "case when id % 4 = 3 then null when id % 2 = 0 then 'hot' else concat('e', id) end as e", "if(id = 0, 'tied', null) as f")
+    out = splits.group_records(df, "row_id", [F.col("e"), F.col("f")], work, 100)
+    groups = {r["group_id"]: r["n"] for r in out.groupBy("group_id").agg(F.count("*").alias("n")).collect()}
+    assert max(groups.values()) == 4000 and len(groups) == 1 + 2000 + 2000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Union" in plan and plan.count("SortMergeJoin") <= 1  # the join of the other rows
+
+
 def test_no_rows(spark, work):
     assert grouped(spark, work, []).count() == 0
 
