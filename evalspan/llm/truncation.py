@@ -1,6 +1,6 @@
 """Texts that were cut before their end.
 
-A stack automaton reads each whole text and keeps open code fences, strings and brackets; its state at the end, the
+A stack automaton reads each whole text and keeps open code fences, strings, quotes, brackets and markup; its state at the end, the
 kind of the last line and broken characters tell how the text ends. What counts as a whole end is measured per source,
 copies of a text counting once: whether the texts whose end isn't in doubt usually end in a closing statement, which
 unfinished-looking endings are common to many texts, and at which length in characters, bytes or tokens the texts pile
@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from ..runtime import Workspace
 
-#: What is put in the place of a lost end: dots, a bracketed note, replacement characters.
-MARKER = re.compile(r"(?:\.\.\.|\u2026|<[A-Za-z .\u2026]{0,40}>|\[[A-Za-z .\u2026]{0,40}\]|\ufffd+)$")
+#: What is put in the place of a lost end: dots or a bracketed note.
+MARKER = re.compile(r"(?:\.\.\.|\u2026|<[A-Za-z .\u2026]{0,40}>|\[[A-Za-z .\u2026]{0,40}\])$")
 #: A bracketed word is a marker only with one of these stems (or none but dots); else it may be an index.
 MARKER_WORD = re.compile(r"cut|trunc|snip|omit|more|cont|elid|^[\W_]*$", re.I)
 TERMINAL = re.compile(r"(?:return|raise|pass|continue|break)\b|\.\.\.$", re.I)
@@ -29,7 +29,19 @@ STATEMENT = re.compile(
     r"|[A-Za-z_][\w.\[\]]*\s*(?:[-+*/]?=(?!=)|,)",
     re.I,
 )
-STRUCTURE = re.compile(r"\\.|\"\"\"|'''|[\"'()\[\]{}#\n]")
+# Elements of HTML that hold text. Only their tags count, so that a comparison is no tag.
+ELEMENTS = (
+    "a|abbr|article|b|blockquote|body|button|caption|code|dd|details|div|dl|dt|em|figure|footer|form|h[1-6]|head|header|html|i|label|li|main|nav|ol"
+    "|option|p|pre|script|section|select|small|span|strong|style|sub|summary|sup|svg|table|tbody|td|textarea|tfoot|th|thead|title|tr|u|ul"
+)
+_TAG = rf"<(?:/(?:{ELEMENTS})|(?:{ELEMENTS})(?:\s+[\w:-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s<>\"']+))*)\s*>"
+OPEN_TAG = re.compile(rf"</?(?:{ELEMENTS})(?:\s+[\w:-]+\s*=[^<>]*)?$")
+STRUCTURE = re.compile(rf"\\.|{_TAG}|\"\"\"|'''|[\"'()\[\]{{}}#\n\u201c\u201d\u201e]")
+#: An escape, or a character in bytes of UTF-8 read as Latin-1, that isn't finished.
+BROKEN = re.compile(
+    r"\ufffd$|[\ud800-\udfff]$|(?<!\\)(?:\\\\)*\\(?:x[0-9A-Fa-f]?|u[0-9A-Fa-f]{0,3}|U[0-9A-Fa-f]{0,7}|N\{[^}\n]*)?$"
+)
+LEAD, PAIR = re.compile(r"(?:[\u00c2-\u00df]|[\u00e0-\u00ef][\u0080-\u00bf]?|[\u00f0-\u00f4][\u0080-\u00bf]{0,2})$"), re.compile(r"[\u00c2-\u00df][\u0080-\u00bf]")
 CLOSES = {")": "(", "]": "[", "}": "{"}
 SENTENCE_END = re.compile(r"[.!?:;\u3002\uff01\uff1f)\"'`*\]]$")
 #: A share of a source's texts at one length that counts as a limit of that source.
@@ -40,7 +52,7 @@ ENDING_SHARE, ENDING_WEIGHT = 0.05, 40
 
 END_SCHEMA = T.StructType(
     [T.StructField("kind", T.StringType())]
-    + [T.StructField(c, T.BooleanType()) for c in ("marker", "fence", "quote")]
+    + [T.StructField(c, T.BooleanType()) for c in ("marker", "fence", "quote", "markup")]
     + [T.StructField("depth", T.IntegerType())]
     + [T.StructField(c, T.BooleanType()) for c in ("broken", "inner", "terminated")]
     + [T.StructField("ending", T.StringType()), T.StructField("known", T.BooleanType())]
@@ -53,18 +65,19 @@ def end_state(text: str) -> tuple:
     last = body.rsplit("\n", 1)[-1]
     found = MARKER.search(body)
     marker = bool(found and last.strip() != "..." and MARKER_WORD.search(found[0][1:-1] if found[0][0] in "[<" else ""))
-    broken = body.endswith("\ufffd") or bool(re.search(r"(?<!\\)\\(?:x[0-9A-Fa-f]?|u[0-9A-Fa-f]{0,3})?$", body))
+    broken = bool(BROKEN.search(last)) or bool(LEAD.search(last) and PAIR.search(body[:-3]))
     if marker:
         body = body[: found.start()].rstrip()
         last = body.rsplit("\n", 1)[-1]
     fenced = "```" in body
     fence, quote, stack, comment, at = False, "", [], False, 0
+    tags, said = [], 0  # open elements, and typographic quotes open in the line
     line = body.split("\n", 1)[0]
     fence = line.lstrip().startswith("```")
     for m in STRUCTURE.finditer(body):
         c = m[0]
         if c == "\n":
-            comment = False
+            comment, said = False, 0
             at = m.end()
             end = body.find("\n", at)
             line = body[at : end if end >= 0 else len(body)]
@@ -79,8 +92,16 @@ def end_state(text: str) -> tuple:
             continue
         elif quote:
             quote = "" if c == quote else quote
+        elif c in "\u201c\u201d\u201e":
+            said = max(0, said - 1) if c == "\u201d" or (c == "\u201c" and said) else said + 1
         elif c == "#":
             comment = True
+        elif c[0] == "<":
+            name = re.match(r"</?(\w+)", c)[1].lower()
+            if c[1] != "/":
+                tags.append(name)
+            elif name in tags:
+                del tags[len(tags) - 1 - tags[::-1].index(name) :]
         elif c[0] in "\"'":
             quote = c
         elif c in "([{":
@@ -108,7 +129,8 @@ def end_state(text: str) -> tuple:
             known = bool(name[1]) and bool(re.search(rf"\b{re.escape(name[1])}\b", body[: len(body) - len(last)]))
             known = known or (name[1] or "").lower() in ("none", "true", "false", "self")
     return (
-        kind, marker, fence and kind != "fence" or (kind == "fence" and fence), bool(quote) and kind != "sentence",
+        kind, marker, fence and kind != "fence" or (kind == "fence" and fence), bool(quote) and kind != "sentence" or said > 0,
+        bool(tags) or not quote and bool(OPEN_TAG.search(last)),
         0 if kind == "sentence" else len(stack), broken, kind == "terminal" and indent > least,
         bool(SENTENCE_END.search(bare)), " ".join(words[-2:]).lower(), known,
     )
@@ -133,6 +155,17 @@ def _limits(texts: DataFrame, size: str) -> DataFrame:
     return piles.groupBy("source").agg(F.max(size).alias(f"{size}_limit"))
 
 
+def _high_ratios(texts: DataFrame, share: float = 0.95, step: float = 0.001, most: float = 100.0) -> DataFrame:
+    """Per source the ratio of tokens to characters that ``share`` of its texts don't exceed, in steps of a fixed
+    histogram: the same however the rows are spread. Ratios above ``most`` count as that."""
+    cell = F.ceil(F.least("ratio", F.lit(most)) / step)
+    counts = texts.where("ratio is not null").groupBy("source", cell.alias("cell")).agg(F.count("*").alias("n"))
+    every = Window.partitionBy("source")  # at most most / step cells
+    below = F.sum("n").over(every.orderBy("cell"))
+    reached = counts.select("source", "cell", below.alias("below"), F.sum("n").over(every).alias("all")).where(F.col("below") >= share * F.col("all"))
+    return texts.select("source").distinct().join(reached.groupBy("source").agg((F.min("cell") * step).alias("ratio95")), "source", "left")
+
+
 def _suspects(rows: DataFrame, base: DataFrame) -> DataFrame:
     """``rows`` with ``limited`` (at a limit of their source) and ``suspect`` (also if far longer in generated tokens)."""
     limited = (
@@ -186,11 +219,11 @@ def find_truncated(
     rows = work.write(rows, "ends")
     # one row per text of a source, or more where its copies differ in tokens
     texts = work.write(rows.drop("_key").dropDuplicates(["source", "text_id", "tokens"]), "texts")
-    base = texts.groupBy("source").agg(F.percentile_approx("ratio", 0.95, 1000).alias("ratio95"))
+    base = _high_ratios(texts)
     for size in ("chars", "bytes", "tokens"):
         sized = texts if size == "tokens" else texts.dropDuplicates(["source", "text_id"])
         base = base.join(_limits(sized, size), "source", "left")
-    open_end = F.col("marker") | F.col("broken") | F.col("fence") | F.col("quote") | (F.col("depth") > 0)
+    open_end = F.col("marker") | F.col("broken") | F.col("fence") | F.col("quote") | F.col("markup") | (F.col("depth") > 0)
     ends = _suspects(texts, base).groupBy("source", "text_id").agg(
         F.first("kind").alias("kind"), F.bool_or(F.col("suspect") | open_end).alias("doubtful")
     )
@@ -209,6 +242,7 @@ def find_truncated(
         .when(F.col("broken"), "broken character or escape")
         .when(F.col("fence"), "open fence")
         .when(F.col("quote"), "open quote")
+        .when(F.col("markup"), "open markup")
         .when(F.col("depth") > 0, "open bracket")
         .when((F.col("kind") == "sentence") & ~F.col("terminated") & F.col("usual").isNull(), "open sentence")
         .when((F.col("kind") == "other") & unusual, "no closing statement")

@@ -18,6 +18,11 @@ def test_end_states():
     assert not kinds("...")["marker"] and kinds("a\ufffd")["broken"] and kinds("x = '\\u00")["broken"]
     assert kinds("if a:\n    return 1")["inner"]
     assert kinds("# don't stop (here\nreturn 1")["depth"] == 0
+    assert kinds("<p>The story was about a man who")["markup"] and kinds('<div class="a"><b>x</b')["markup"]
+    assert not any(kinds(t)["markup"] for t in ("<p>All of it.</p>\nDone", "if a<b and c>d:\n    return a", "x = '<p>'\nreturn x", "a <br> b"))
+    assert all(kinds(t)["broken"] for t in ("x = '\\U0001F", "x = '\\N{DASH", "caf\u00c3\u00a9 and \u00c3", "a\ufffd"))
+    assert not any(kinds(t)["broken"] for t in ("a caf\u00e9", "x = '\\\\U00'", "x = '\\N{DASH}'"))
+    assert kinds("He said \u201cthis is")["quote"] and not kinds("\u201eJa\u201c, \u201cyes\u201d")["quote"]
 
 
 def test_whole_and_cut_rows(spark, work):
@@ -82,6 +87,18 @@ def test_usual_endings_are_counted_per_source_over_texts(spark, work):
         assert {got[r[0]] for r in whole + more} == {None}
 
 
+def test_rates_do_not_depend_on_partitions(spark, work):
+    rows = [(i, f"m{i % 3}", f"x{i} = f({i})\nreturn x{'0' * (i % 7)}{i}" + "y" * (i % 5), i % 40) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, model string, text string, tokens int")
+    found = [sorted(map(tuple, truncation.find_truncated(df.repartition(n), "id", "text", "model", "tokens", work).collect()), key=str) for n in (1, 7)]
+    assert found[0] == found[1]
+    # brute force of the baseline: the first step of the histogram that 95 % don't exceed
+    texts = df.selectExpr("model as source", "tokens / length(text) as ratio")
+    for r in truncation._high_ratios(texts).collect():
+        own = sorted(x["ratio"] for x in texts.where(F.col("source") == r["source"]).collect())
+        assert abs(r["ratio95"] - own[-(-95 * len(own) // 100) - 1]) <= 0.001
+
+
 def test_empty_table(spark, work):
     df = spark.createDataFrame([], "id long, model string, text string, tokens int")
     assert truncation.find_truncated(df, "id", "text", "model", "tokens", work).count() == 0
