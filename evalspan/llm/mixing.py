@@ -1,13 +1,15 @@
 """Mixing sources to target weights along a curriculum.
 
-Each source has a weight schedule over the training run, here its share times ``1 + ramp * (2 t - 1)`` for time t from
-0 to 1. The integral of a schedule is the source's token demand up to a time; inverting it at a text's cumulative
-tokens gives the time at which the text is due, and the texts are range-sorted by it. Cumulative tokens come from sums
-per bucket of texts, so that a source of any size is spread over many tasks.
+Each source has a weight schedule over the training run: weights at points of time from 0 to 1, linear between them. By
+default it is a ramp, ``1 + ramp * (2 t - 1)``, up for sources that are repeated and down for the others. The integral
+of a schedule is the source's token demand up to a time; inverting it, piece by piece, at a text's cumulative tokens
+gives the time at which the text is due, and the texts are range-sorted by it. Cumulative tokens come from sums per
+bucket of texts, so that a source of any size is spread over many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +30,10 @@ def source_name(value: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(value)), r"[-\s]+", "_")
 
 
+#: Times from 0 to 1 and the weights there.
+Schedule = Sequence[tuple[float, float]]
+
+
 @dataclass(frozen=True)
 class Plan:
     source: str
@@ -36,11 +42,27 @@ class Plan:
     texts: int
     tokens: int
     wanted: float
-    ramp: float
+    schedule: Schedule
+
+
+def normal_schedule(points: Schedule) -> Schedule:
+    """The points in order of time, from 0 to 1 (the outer weights hold beyond the outer points), with an integral of 1.
+
+    Raises for a time outside 0 to 1, a time given twice, a negative weight, and weights that are all zero.
+    """
+    points = sorted((float(t), float(w)) for t, w in points)
+    times = [t for t, _ in points]
+    if not points or times[0] < 0 or times[-1] > 1 or len(set(times)) < len(times) or min(w for _, w in points) < 0:
+        raise ValueError(f"not a schedule: {points}")
+    points = [(0.0, points[0][1])] * (times[0] > 0) + points + [(1.0, points[-1][1])] * (times[-1] < 1)
+    area = sum((t - s) * (v + w) / 2 for (s, v), (t, w) in zip(points, points[1:]))
+    if area <= 0:
+        raise ValueError("a schedule needs a weight above zero")
+    return [(t, w / area) for t, w in points]
 
 
-def plan_mix(sources: list[dict], size: int | None = None) -> list[Plan]:
-    """Token demand and ramp of each source.
+def plan_mix(sources: list[dict], size: int | None = None, schedules: Mapping[str, Schedule] | None = None) -> list[Plan]:
+    """Token demand and schedule of each source; ``schedules`` has those that aren't to follow the ramp.
 
     The mix has ``size`` tokens, by default as many as its sources hold, or fewer if the repeats don't allow it. A
     source gets its share of that, or all that its repeats allow; what it can't fill goes to the others in proportion
@@ -61,26 +83,39 @@ def plan_mix(sources: list[dict], size: int | None = None) -> list[Plan]:
     raw = {s["source"]: RAMP if wanted[s["source"]] > (s["tokens"] or 0) else -RAMP for s in sources}
     mean = sum(raw[s] * wanted[s] for s in wanted) / total
     widest = max([1.0, *(abs(raw[s] - mean) for s in wanted)])
+    given = {} if schedules is None else schedules
+    ramp = {s: (raw[s] - mean) / widest for s in wanted}
     return [
-        Plan(s["source"], s["target_share"], s["max_repeats"] or 0, s["texts"] or 0, s["tokens"] or 0,
-             wanted[s["source"]], (raw[s["source"]] - mean) / widest)
+        Plan(s["source"], s["target_share"], s["max_repeats"] or 0, s["texts"] or 0, s["tokens"] or 0, wanted[s["source"]],
+             normal_schedule(given.get(s["source"], [(0, 1 - ramp[s["source"]]), (1, 1 + ramp[s["source"]])])))
         for s in sources
     ]
 
 
-def due_time(done: Column, ramp: Column) -> Column:
-    """The time t at which the integral of ``1 + ramp (2 t - 1)`` reaches ``done`` (from 0 to 1)."""
-    root = F.sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * done)
-    # the stable form of the root, also right for a ramp of 0
-    return F.when(done <= 0, F.lit(0.0)).otherwise(2 * done / ((1 - ramp) + root))
-
-
-def mix(texts: DataFrame, targets: DataFrame, work: Workspace, size: int | None = None) -> tuple[DataFrame, list[Plan]]:
+def due_time(done: Column, times: Column, weights: Column) -> Column:
+    """The time at which the integral of a normal schedule reaches ``done`` (from 0 to 1), the earliest where that holds
+    for a stretch: the piece is found among the integrals up to the points, and a quadratic equation gives the rest."""
+    steps = F.sequence(F.lit(1), F.size(times) - 1)
+    area = F.transform(steps, lambda i: (F.get(times, i) - F.get(times, i - 1)) * (F.get(weights, i) + F.get(weights, i - 1)) / 2)
+    sums = F.transform(steps, lambda i: F.aggregate(F.slice(area, F.lit(1), i), F.lit(0.0), lambda x, y: x + y))
+    k = F.least(F.size(F.filter(sums, lambda x: x < done)), F.size(times) - 2)
+    left = done - F.when(k > 0, F.get(sums, k - 1)).otherwise(0.0)
+    t, w, width = F.get(times, k), F.get(weights, k), F.get(times, k + 1) - F.get(times, k)
+    slope = (F.get(weights, k + 1) - w) / width
+    # the stable form of the root, also right for a slope of 0
+    root = F.sqrt(F.greatest(w * w + 2 * slope * left, F.lit(0.0)))
+    return F.when(left <= 0, t).otherwise(t + F.least(width, F.coalesce(F.try_divide(2 * left, w + root), F.lit(0.0))))
+
+
+def mix(
+    texts: DataFrame, targets: DataFrame, work: Workspace, size: int | None = None, schedules: Mapping[str, Schedule] | None = None
+) -> tuple[DataFrame, list[Plan]]:
     """``texts`` has ``doc_id, source, tokens, h1, h2`` (a text's hash); ``targets`` has ``source, target_share, max_repeats``.
 
     Returns one row per use of a text: ``position`` (in tokens of the mix), ``doc_id``, ``copy``, ``source``, ``tokens``,
     sorted by position, and the plan. Equal texts count as one, at their smallest doc_id. Texts of sources without a
-    target, and texts without tokens, aren't used; doubled targets count once (the largest share).
+    target, and texts without tokens, aren't used; doubled targets count once (the largest share). ``schedules`` gives
+    weights over time by a source's name (see ``source_name``), in place of the ramp.
     """
     named = targets.where("source is not null").groupBy(source_name(F.col("source")).alias("source")).agg(
         F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -92,10 +127,10 @@ def mix(texts: DataFrame, targets: DataFrame, work: Workspace, size: int | None
     once = once.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("t")).select("t.*")
     once = work.write(once, "once")
     sums = once.groupBy("source").agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens"))
-    plan = plan_mix([r.asDict() for r in named.join(sums, "source", "left").orderBy("source").collect()], size)
+    plan = plan_mix([r.asDict() for r in named.join(sums, "source", "left").orderBy("source").collect()], size, schedules)
     plans = work.spark.createDataFrame(
-        [(p.source, p.tokens, p.wanted, p.ramp) for p in plan if p.wanted > 0],
-        "source string, all_tokens long, wanted double, ramp double",
+        [(p.source, p.tokens, p.wanted, [t for t, _ in p.schedule], [w for _, w in p.schedule]) for p in plan if p.wanted > 0],
+        "source string, all_tokens long, wanted double, times array<double>, weights array<double>",
     )
     buckets = max(1, once.count() // BUCKET_TEXTS)
     order = F.xxhash64(F.lit(SEED), F.col("doc_id"))
@@ -111,7 +146,7 @@ def mix(texts: DataFrame, targets: DataFrame, work: Workspace, size: int | None
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor(F.col("wanted") / F.col("all_tokens")).cast("int"))))
         .withColumn("start", F.col("copy") * F.col("all_tokens") + F.col("offset") + F.col("within"))
         .where("start + tokens / 2.0 <= wanted")  # the nearest end to the demand
-        .withColumn("position", due_time(F.col("start") / F.col("wanted"), F.col("ramp")) * total)
+        .withColumn("position", due_time(F.col("start") / F.col("wanted"), F.col("times"), F.col("weights")) * total)
         .select("position", "doc_id", "copy", "source", "tokens")
     )
     return uses, plan

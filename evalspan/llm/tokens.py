@@ -10,6 +10,7 @@ case. Results are kept per worker for pre-tokens met again.
 from __future__ import annotations
 
 import base64
+import hashlib
 import itertools
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -127,7 +128,7 @@ class Encoder(dict):
         return list(itertools.chain.from_iterable(map(self.__getitem__, self.split(text))))
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(vocabulary) -> Encoder:
@@ -142,7 +143,7 @@ class _Shared:
         with open(path, "rb") as f:
             data = f.read()
         self.handle = spark.sparkContext.broadcast(data)
-        self.id_ = hash((path, len(data)))
+        self.id_ = hashlib.sha256(data).hexdigest()
 
 
 def encode(df: DataFrame, text: str, vocabulary: str = VOCABULARY, ids: str = "ids") -> DataFrame:

@@ -97,10 +97,31 @@ def test_empty_mix(spark, work):
     assert uses == [] and mixing.shares(df, plan).first()["actual_share"] is None
 
 
+SCHEDULES = [[(0, 1 - r), (1, 1 + r)] for r in (-1.0, -0.4, 0.0, 0.7, 1.0)] + [[(0.5, 3)], [(0, 0), (0.3, 2), (0.6, 0), (0.8, 0), (1, 5)], [(0.2, 1), (0.9, 4)]]
+
+
 def test_due_time_inverts_the_integral(spark):
-    df = spark.range(11).select((F.col("id") / 10.0).alias("u"), F.explode(F.array(*[F.lit(x) for x in (-1.0, -0.4, 0.0, 0.7, 1.0)])).alias("r"))
-    t = df.withColumn("t", mixing.due_time(F.col("u"), F.col("r"))).collect()
-    assert all(abs(x["t"] + x["r"] * (x["t"] ** 2 - x["t"]) - x["u"]) < 1e-9 for x in t)
+    normal = [mixing.normal_schedule(s) for s in SCHEDULES]
+    rows = [(i, u / 20.0, [t for t, _ in s], [w for _, w in s]) for i, s in enumerate(normal) for u in range(21)]
+    df = spark.createDataFrame(rows, "i int, u double, times array<double>, weights array<double>")
+    for r in df.withColumn("t", mixing.due_time(F.col("u"), F.col("times"), F.col("weights"))).collect():
+        done, points = 0.0, normal[r["i"]]
+        for (s, v), (t, w) in zip(points, points[1:]):
+            e = min(max(r["t"], s), t)
+            done += (e - s) * (2 * v + (w - v) * (e - s) / (t - s)) / 2
+        assert abs(done - r["u"]) < 1e-9, r
+    for bad in ([], [(2, 1)], [(0, -1), (1, 3)], [(0, 0)], [(0.5, 1), (0.5, 2)]):
+        with pytest.raises(ValueError):
+            mixing.normal_schedule(bad)
+
+
+def test_a_schedule_of_ones_own(spark, work):
+    # b only in the second half
+    t = spark.createDataFrame([(i, "ab"[i % 2], 10, i, 0) for i in range(200)], "doc_id long, source string, tokens long, h1 long, h2 long")
+    g = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    uses, _ = mixing.mix(t, g, work, schedules={"a": [(0, 1)], "b": [(0.5, 0), (0.51, 1)]})
+    at = [(r["source"], r["position"]) for r in uses.collect()]
+    assert min(p for s, p in at if s == "b" and p > 0) > 990 and sum(s == "b" for s, _ in at) == 100
 
 
 COMMON = frozenset("the a of to and in was der die 的 了 在".split())
