@@ -35,10 +35,11 @@ TOKEN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W\d_]+")
 DIGIT = re.compile(r"\d")
 SYMBOL = re.compile(r"[^\w\s]|_")
 ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffd\u2580-\u259f]")
-STOP = re.compile(r"[.!?;\u3002\uff01\uff1f\uff1b]*(?:[.!?](?=[\s\"'\u201d)\]`]|$)|[\u3002\uff01\uff1f\uff1b]|(?<!\d);+)")
+# the first look keeps the pattern from being tried at every character
+STOP = re.compile(r"(?=[.!?;\u3002\uff01\uff1f\uff1b])[.!?;\u3002\uff01\uff1f\uff1b]*(?:[.!?](?=[\s\"'\u201d)\]`]|$)|[\u3002\uff01\uff1f\uff1b]|(?<!\d);+)")
 TRAIL = re.compile(r"\s[\u00bb\u203a\u2192>]\s")
 CELL = re.compile(r"(?<!<)\|(?!>)|[\u2502\u2503\t]|</?t[dhr]\b|(?<=[^\s.!?:;,]) {2,}(?=\S)")
-TIGHT_COMMA = re.compile(r"(?<=[^\s])?,(?=[^\s])|,$")
+TIGHT_COMMA = re.compile(r",(?:(?=[^\s])|$)")
 LONG = re.compile(r"[^\s\u2e80-\uffff]{48,}")
 ENDED = re.compile(r"[.!?:;,\u3002\uff01\uff1f\u2026\"'\u201d)\]]$")
 BULLET = re.compile(
@@ -103,6 +104,7 @@ class Doc:
 
 _DIGITS = b"0123456789"
 _SIGNS = bytes(c for c in range(128) if not chr(c).isalnum() and not chr(c).isspace())
+_LETTERS = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalpha() else 32 for c in range(256))
 _CONTROLS = bytes(c for c in range(32) if c not in (9, 10, 13))
 
 
@@ -113,8 +115,8 @@ def read_line(part: str, common: frozenset) -> Line:
         return Line(part[:HEAD], part[-TAIL:], start=part.lstrip(INDENT)[:HEAD])
     cjk = digits = symbols = odd = 0
     if part.isascii():
-        words = ASCII_WORD.findall(part.lower())
         raw = part.encode()
+        words = ASCII_WORD.findall(part.lower()) if "'" in part else raw.translate(_LETTERS).decode().split()
         digits = len(raw) - len(raw.translate(None, _DIGITS))
         symbols = len(raw) - len(raw.translate(None, _SIGNS))
         odd = len(raw) - len(raw.translate(None, _CONTROLS))
