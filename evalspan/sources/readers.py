@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,33 +17,53 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> tuple[DataFrame, bool]:
     """The rows of a file of JSON lines and whether it exists; a missing file has no rows.
 
-    Blank lines are skipped. ``strict`` fails on a line that isn't an object of the schema; otherwise such a line is
-    dropped. Extra fields are ignored.
+    Blank lines are skipped and extra fields ignored. A line that isn't an object of the schema, such as one written in
+    part, fails the read: nothing is dropped. ``strict`` names the file and the number of the line in the error and adds
+    ``_line_number``, at the cost of a count of lines; without it the read is one scan. ``bad_lines`` gives the broken
+    lines themselves, for a quarantine.
     """
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     if not exists(spark, path):
-        return spark.createDataFrame([], schema), False
-    mode = "FAILFAST" if strict else "DROPMALFORMED"
-    return spark.read.schema(schema).option("mode", mode).json(path), True
+        empty = spark.createDataFrame([], schema)
+        return (empty.withColumn("_line_number", F.lit(0).cast("long")) if strict else empty), False
+    if not strict:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path), True
+    fields, broken = _parsed(schema)
+    where = F.concat(F.lit("not an object of the schema: "), "_file", F.lit(":"), F.col("_line_number").cast("string"))
+    rows = numbered_lines(spark, path).withColumn("_o", F.when(broken, F.raise_error(where).cast(fields)).otherwise(_object(schema)))
+    return rows.select(*[F.col(f"_o.`{f.name}`") for f in schema.fields], "_line_number"), True
+
+
+def _object(schema: T.StructType) -> Column:
+    extended = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    return F.from_json("value", extended, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+
+
+def _parsed(schema: T.StructType) -> tuple[T.StructType, Column]:
+    """The type of a parsed ``value`` and whether it isn't an object of the schema."""
+    extended = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    return extended, _object(schema)["_bad"].isNotNull() | ~F.startswith(F.ltrim("value"), F.lit("{"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``_line_number`` (from 1) and ``value`` of each line that isn't blank.
+    """``_file``, ``_line_number`` (from 1) and ``value`` of each line that isn't blank.
 
-    The numbers come from one small aggregation: lines per partition are counted, and each partition starts where the
-    ones before end, so nothing is sorted or gathered.
+    The numbers come from one small aggregation: the lines of each block of a file are counted, and a block starts where
+    the ones before end, so no line is sorted or gathered.
     """
-    rdd = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()
-    df = spark.createDataFrame(rdd.map(lambda x: (x[1] + 1, x[0])), "_line_number long, value string")
-    return df.where(F.trim("value") != "")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # the blocks of one file
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    numbered = lines.join(blocks, ["_file", "_block"]).withColumn("_line_number", F.col("_at") - F.col("_first") + F.col("_before") + 1)
+    return numbered.where(F.trim("value") != "").select("_file", "_line_number", "value")
 
 
 def bad_lines(lines: DataFrame, schema: str) -> DataFrame:
     """Numbered lines that aren't JSON objects of the schema, for a report with line numbers."""
-    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    is_object = F.startswith(F.ltrim("value"), F.lit("{"))
-    return lines.where(parsed["_bad"].isNotNull() | ~is_object)
+    return lines.where(_parsed(T._parse_datatype_string(schema))[1])
 
 
 def read_object(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -66,16 +66,26 @@ def read_journal(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFra
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside the path, then rename over it: readers see the old table or the new one."""
+    """Write beside the path, put the old table aside, rename, and delete the old one last.
+
+    At any time one of the two tables is whole on disk; if the second rename fails, the old table is put back.
+    """
     spark = df.sparkSession
     fresh = f"{path}.{uuid.uuid4().hex}.tmp"
     df.write.parquet(fresh)
     new, fs = _fs(spark, fresh)
     old, _ = _fs(spark, path)
-    fs.delete(old, True)
+    aside, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}.old")
     fs.mkdirs(old.getParent())
+    existed = fs.exists(old)
+    if existed and not fs.rename(old, aside):
+        raise OSError(f"can't put {path} aside")
     if not fs.rename(new, old):
+        if existed:
+            fs.rename(aside, old)
         raise OSError(f"can't rename {fresh}")
+    if existed:
+        fs.delete(aside, True)
 
 
 def content_digest(df: DataFrame) -> str:

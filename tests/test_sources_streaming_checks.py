@@ -19,10 +19,27 @@ def test_jsonl(spark, tmp_path):
     empty, found = readers.read_jsonl(spark, str(tmp_path / "no.jsonl"), "a long")
     assert not found and empty.count() == 0
     f.write_text('{"a": 1}\n[1]\n{bad\n')
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="a.jsonl:[23]"):
         readers.read_jsonl(spark, str(f), "a long")[0].collect()
+    with pytest.raises(Exception):  # nothing is dropped without line numbers either
+        readers.read_jsonl(spark, str(f), "a long", strict=False)[0].collect()
     lines = readers.numbered_lines(spark, str(f))
     assert [r["_line_number"] for r in readers.bad_lines(lines, "a long").orderBy("_line_number").collect()] == [2, 3]
+    f.write_text('{"a": 1}\n\n{"a": 2}\n{"a": 3')  # written in part
+    with pytest.raises(Exception, match="a.jsonl:4"):
+        readers.read_jsonl(spark, str(f), "a long")[0].collect()
+
+
+def test_line_numbers_over_many_blocks(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).write_text("".join("\n" if i % 7 == 6 else f"{name}{i}\n" for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = readers.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 2 * (3000 - 428) and all(r["value"][1:] == str(r["_line_number"] - 1) and r["_file"].endswith("/" + r["value"][0]) for r in rows)
 
 
 def test_objects_csv_and_reports(spark, tmp_path):
