@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import json
+import posixpath
 import re
 import textwrap
 from collections.abc import Sequence
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed value: the grammar of a hunk's header.
 HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
@@ -88,16 +90,23 @@ def undented(text: str | None) -> str | None:
     return None if text is None else textwrap.dedent(text)
 
 
-def replay(edits: Sequence[dict]) -> dict[str, str]:
-    """Files after a sequence of edits; raises ValueError on one that doesn't fit.
+def confined(path: str | None, root: str) -> str:
+    """The path in its shortest form, relative to ``root``; ValueError if it leaves the root or is the root itself."""
+    root = posixpath.normpath(root)
+    whole = posixpath.normpath(posixpath.join(root, path or ""))
+    if not whole.startswith(root.rstrip("/") + "/"):
+        raise ValueError("a path that leaves its root")
+    return whole[len(root.rstrip("/")) + 1 :]
+
+
+def replay(edits: Sequence[dict], root: str = "/testbed") -> dict[str, str]:
+    """Files, by their path under ``root``, after a sequence of edits; raises ValueError on one that doesn't fit.
 
     ``create`` needs a new path, ``str_replace`` exactly one place, ``insert`` a line number within the file.
     """
     files: dict[str, str] = {}
     for e in edits:
-        path, command = e["path"], e["command"]
-        if path.startswith("/") and ".." in path.split("/"):
-            raise ValueError("a path that leaves its root")
+        path, command = confined(e["path"], root), e["command"]
         if command == "create":
             if path in files:
                 raise ValueError("the file exists")

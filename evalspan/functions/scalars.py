@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import sqrt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,6 +60,29 @@ def wilson(successes: Column, trials: Column, z: float = Z95) -> tuple[Column, C
     return F.when(trials > 0, lower), F.when(trials > 0, upper)
 
 
+def confident_levels(trials: int, z: float = Z95) -> list[tuple[int, int]]:
+    """Pairs of numbers of successes, the lower first, whose Wilson intervals are disjoint."""
+
+    def bounds(k: int) -> tuple[float, float]:
+        p, below = k / trials, 1 + z * z / trials
+        half = z * sqrt(p * (1 - p) / trials + z * z / (4 * trials * trials))
+        centre = p + z * z / (2 * trials)
+        return max(0.0, (centre - half) / below), min(1.0, (centre + half) / below)
+
+    ends = [bounds(k) for k in range(trials + 1)]
+    return [(i, j) for i in range(trials + 1) for j in range(i + 1, trials + 1) if ends[i][1] < ends[j][0] or ends[j][1] < ends[i][0]]
+
+
+def feedback_text(valid: Column, passed: Column, total: Column, exit_code: Column, reason: Column, invalid_edit: Column) -> Column:
+    """What a rollout is told about the public tests; null counts as not valid, and as no invalid edit."""
+    # The wording that ``plans.rollouts.public_status`` reads back.
+    said = F.when(
+        F.coalesce(valid, F.lit(False)),
+        F.concat(F.lit("Public tests: "), passed.cast("string"), F.lit("/"), total.cast("string"), F.lit(" passed; exitcode="), exit_code.cast("string"), F.lit(".")),
+    ).otherwise(F.concat(F.lit("Public tests unavailable: "), F.coalesce(reason, F.lit("invalid_observation")), F.lit(".")))
+    return F.concat(F.when(F.coalesce(invalid_edit, F.lit(False)), "Previous edit was invalid; source unchanged. ").otherwise(""), said)
+
+
 def disjoint(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
     return (hi_a < lo_b) | (hi_b < lo_a)
 
@@ -76,9 +100,14 @@ def terminal_reward(solved: Column, score: Column, weight: float = 0.5) -> Colum
 
 
 def patch_paths(patch: Column, side: str = "a") -> Column:
-    """Paths of the changed files in a unified diff: the old side in order of appearance, or the new side."""
-    group = 1 if side == "a" else 2
-    return F.regexp_extract_all(patch, F.lit(r"(?m)^diff --git a/(.*?) b/(.*)$"), F.lit(group))
+    """Paths of the changed files in a unified diff: the old side in order of appearance, or the new side.
+
+    On the new side one header that can't be split makes the whole result empty.
+    """
+    found = F.regexp_extract_all(patch, F.lit(r"(?m)^diff --git a/(.*?) b/(.*)$"), F.lit(1 if side == "a" else 2))
+    if side == "a":
+        return found
+    return F.when(F.size(found) == F.regexp_count(patch, F.lit("(?m)^diff --git ")), found).otherwise(F.slice(found, 1, 0))
 
 
 def strip_root(path: Column, root: str = "/testbed/") -> Column:

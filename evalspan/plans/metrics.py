@@ -10,8 +10,7 @@ from ..operators import ranking, views
 
 K = views.REPLICATES
 LEVELS = list(range(K + 1))
-#: Numbers of successes of K whose Wilson intervals are disjoint: for K = 4 only none against all.
-CONFIDENT = [(0, 4)]
+CONFIDENT = fn.confident_levels(K)
 
 
 def success_rates(spark: SparkSession, directory: str) -> DataFrame:

@@ -66,6 +66,8 @@ def test_patch_paths_of_both_sides(spark):
     df = spark.createDataFrame([("diff --git a/x.py b/y.py\n@@ -1 +1 @@\ndiff --git a/z b/z\n",), ("",), (None,)], "p string")
     got = [tuple(r) for r in df.select(fn.patch_paths(F.col("p")), fn.patch_paths(F.col("p"), "b")).collect()]
     assert got == [(["x.py", "z"], ["y.py", "z"]), ([], []), (None, None)]
+    bad = spark.createDataFrame([("diff --git a/x.py b/x.py\ndiff --git broken\n",)], "p string")
+    assert bad.select(fn.patch_paths(F.col("p"), "b")).first()[0] == [] and bad.select(fn.patch_paths(F.col("p"))).first()[0] == ["x.py"]
 
 
 def test_edits_on_text(spark):
@@ -82,6 +84,21 @@ def test_replay():
             code.replay(bad)
 
 
+def test_paths_stay_under_their_root():
+    assert [code.confined(p, "/testbed") for p in ("a/b.py", "/testbed/a/../b", "./x", "/testbed//y")] == ["a/b.py", "b", "x", "y"]
+    for p in ("../../etc/x", "/etc/x", "/testbed/../x", "", None, "/testbed", "/testbedded/x"):
+        with pytest.raises(ValueError):
+            code.confined(p, "/testbed")
+
+
+def test_confident_levels_and_feedback(spark):
+    assert fn.confident_levels(4) == [(0, 4)] and (0, 1) not in fn.confident_levels(16) and (0, 16) in fn.confident_levels(16)
+    data = [(True, 3, 5, 1, None, None), (False, 0, 0, 0, "timeout", True), (None, None, None, None, None, False)]
+    df = spark.createDataFrame(data, "v boolean, p int, t int, e int, r string, i boolean")
+    got = [r[0] for r in df.select(fn.feedback_text(*[F.col(c) for c in "vpteri"])).collect()]
+    assert got == ["Public tests: 3/5 passed; exitcode=1.", "Previous edit was invalid; source unchanged. Public tests unavailable: timeout.", "Public tests unavailable: invalid_observation."]
+
+
 def test_replay_over_trajectories(spark):
     data = [("t1", 0, "create", "p", "a a", None, None), ("t1", 1, "str_replace", "p", "x", "a", None), ("t2", 0, "create", "p", "a", None, None), ("t2", 1, "insert", "p", "b", None, 1)]
     df = spark.createDataFrame(data, "k string, i int, command string, path string, text string, old string, line int")
