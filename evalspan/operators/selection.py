@@ -45,7 +45,8 @@ def anchors_first(df: DataFrame, group: str, key: str, seed: str, n: int, least_
 
 
 def quota_panel(
-    df: DataFrame, key: str, repo: str, outcome: str, order: Sequence[str], quotas: Mapping[bool, int], per_repo: int, strict: bool = True
+    df: DataFrame, key: str, repo: str, outcome: str, order: Sequence[str], quotas: Mapping[bool, int], per_repo: int, strict: bool = True,
+    edits: str | None = None, min_edits: int = 0, min_repos: int = 0,
 ) -> DataFrame:
     """Greedy panel: rows in order, skipping outcomes whose quota is full and repositories at their cap.
 
@@ -53,9 +54,13 @@ def quota_panel(
     the quota full, for good. A row of those is refused only where the quota is full or the other outcome has used up
     the cap, which the at most ``total`` taken rows can cause for ``total`` repositories. So per outcome the first
     ``quota + total * per_repo`` of them hold every row of the panel, whatever the input; one pass over that bounded
-    number decides. If a quota can't be filled, ``strict`` raises; else the panel is as large as it gets. Rows with a null repository or outcome are left out.
+    number decides. If a quota can't be filled, or the
+    panel has fewer than ``min_repos`` repositories, ``strict`` raises; else the panel is as large as it gets. Rows with a
+    null repository or outcome, or fewer than ``min_edits`` in ``edits`` (null counts as none), are left out.
     """
     total = sum(quotas.values())
+    if edits is not None:
+        df = df.where(F.coalesce(edits, F.lit(0)) >= min_edits)
     rows = df.where(F.col(repo).isNotNull() & F.col(outcome).isNotNull()).select(key, repo, outcome, *[c for c in order if c not in (key, repo, outcome)])
     rows = top_per_group(rows, [repo, outcome], list(order), per_repo).drop("rank")
     spark, schema = df.sparkSession, df.select(key, repo, outcome).schema
@@ -71,6 +76,8 @@ def quota_panel(
             taken.append((r[key], r[repo], r[outcome]))
     if strict and any(left.values()):
         raise ValueError(f"the quotas can't be filled: {left} left")
+    if strict and len(used) < min_repos:
+        raise ValueError(f"{len(used)} repositories, {min_repos} wanted")
     return spark.createDataFrame(pd.DataFrame(taken, columns=schema.names), schema)
 
 

@@ -74,6 +74,18 @@ def rewards_to_go(df: DataFrame, keys: Sequence[str], step: str, reward: str, di
     return df.withColumn("to_go", F.aggregate(F.reverse(tail), F.lit(0.0), lambda a, r: r + discount * a))
 
 
+def advantages_to_go(
+    df: DataFrame, keys: Sequence[str], step: str, reward: str, value: str, discount: float = 1.0, trace: float = 0.95, out: str = "gae"
+) -> DataFrame:
+    """Generalised advantages: the sum over this and later steps of the errors ``reward + discount * next value - value``,
+    each weighted by ``discount * trace`` for every step in between. After the last step the value is 0; nulls count as 0."""
+    ordered = Window.partitionBy(*keys).orderBy(step)
+    v, r = F.coalesce(F.col(value), F.lit(0.0)), F.coalesce(F.col(reward), F.lit(0.0))
+    error = r + discount * F.coalesce(F.lead(v).over(ordered), F.lit(0.0)) - v
+    rows = df.withColumn("_error", error)
+    return rewards_to_go(rows, keys, step, "_error", discount * trace).withColumnRenamed("to_go", out).drop("_error")
+
+
 def silent_moves(df: DataFrame, keys: Sequence[str], step: str, shown: str, solved: str, hidden: str, eps: float = EPS) -> DataFrame:
     """Rollouts with a step at which the hidden value moves while the shown one and the outcome don't."""
     prev = with_previous(df, keys, step, [shown, solved, hidden])

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import metrics, panels, relations, rollouts, storage, studies, texts
+from . import metrics, panels, relations, rollouts, rules, storage, studies, texts
 from .metrics import candidate_q_wilson
 
-MODULES = (metrics, rollouts, panels, relations, texts, studies, storage)
+MODULES = (metrics, rollouts, panels, relations, texts, studies, storage, rules)
 
 __all__ = ["candidate_q_wilson", "queries"]
 

@@ -6,6 +6,28 @@ from pyspark.sql import functions as F
 from evalspan.operators import selection, sequences
 
 
+def test_generalised_advantages_equal_a_loop(spark):
+    rows = [("a", i, r, v) for i, (r, v) in enumerate([(0.0, 0.2), (None, 0.5), (1.0, None), (0.5, 0.1)])] + [("b", 0, 1.0, 0.4)]
+    df = spark.createDataFrame(rows, "k string, t int, r double, v double")
+    got = {(x["k"], x["t"]): x["gae"] for x in sequences.advantages_to_go(df, ["k"], "t", "r", "v", 0.9, 0.8).collect()}
+    for k in "ab":
+        own, run, after = [x for x in rows if x[0] == k], 0.0, 0.0
+        for _, t, r, v in reversed(own):
+            run = (r or 0) + 0.9 * after - (v or 0) + 0.72 * run
+            after = v or 0
+            assert abs(got[k, t] - run) < 1e-12
+
+
+def test_a_panel_needs_edits_and_repositories(spark):
+    rows = [(i, f"r{i % 3}", i % 2 == 0, i, None if i == 0 else i) for i in range(12)]
+    df = spark.createDataFrame(rows, "key long, repo string, ok boolean, o long, edits long")
+    take = lambda **x: selection.quota_panel(df, "key", "repo", "ok", ["o"], {True: 2, False: 2}, 2, edits="edits", **x)
+    assert sorted(r["key"] for r in take(min_edits=4).collect()) == [4, 5, 6, 7]
+    assert sorted(r["key"] for r in take(min_edits=1, min_repos=3).collect()) == [1, 2, 3, 4]
+    with pytest.raises(ValueError, match="repositories"):
+        take(min_edits=1, min_repos=4)
+
+
 def test_transition_labels(spark):
     data = [(2, 0, True, 3, 0, True), (3, 1, True, 3, 0, True), (2, 1, True, 3, 0, True), (3, 0, True, 3, 0, True), (1, 0, True, 3, 0, False), (None, 0, None, 3, 0, True)]
     df = spark.createDataFrame(data, "f int, r int, v boolean, f0 int, r0 int, v0 boolean")
