@@ -8,6 +8,7 @@ optimiser exact sizes for its next choice of join.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -83,6 +84,11 @@ class Workspace:
         atexit.register(_forget, self.spark, table)
         return self.spark.table(table)
 
+    def release(self) -> None:
+        """Let the driver collect its garbage: only then Spark deletes the shuffle files of plans that have ended."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Delete the table last written under a name; no later plan may read it."""
         jvm = self.spark.sparkContext._jvm
