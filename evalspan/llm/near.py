@@ -489,6 +489,8 @@ def near_groups(
     same = rows.where("id <> root").selectExpr("id as a", "root as b").unionByName(copies.where("a <> first").selectExpr("a", "first as b"))
     links = work.write(same.unionByName(_verify(stars, sets, threshold, work, "first", hot_pairs)), "links")
     found = work.write(connected_components(links, "a", "b", work, "first"), "first")
+    work.drop("links")
+    work.release()
     count = own.count()
     width = min(max(COUNTERS[0], 1 << (count // LOAD).bit_length()), COUNTERS[1])
     levels = frequency_sketch(unique, width)
@@ -502,9 +504,12 @@ def near_groups(
     if has_hot:  # rows of hot keys stay where they are, but for those that texts of several groups have
         hot = work.write(_postings(grouped, sketch, width, skip, hot_level, True), "hot")
         hot = work.write(hot.join(_mixed(hot), "key", "left_semi"), "mixed")
+        work.drop("hot")
+    work.release()
     stars = _star_pairs(lists.unionByName(hot) if has_hot else lists, threshold)
     found, changed = _merge(found, work.write(_verify(stars, sets, threshold, work, "second", hot_pairs), "star-links"), work, "second")
     collisions = work.write(_collisions(_renamed(lists, changed), threshold, key_rows), "collisions")
+    work.drop("lists")
     heavy = collisions.where("kind = 1").select("key", F.col("b").alias("comp"), F.col("a").alias("id"), "n")
     heavy = heavy.unionByName(_renamed(hot, changed)) if has_hot else heavy
     heavy = work.write(heavy.join(_mixed(heavy), "key", "left_semi"), "heavy")
